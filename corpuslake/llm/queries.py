@@ -36,6 +36,15 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_jump_shard, op5_quality_rules, op7_token_counts, op8_minhash_near_dedup)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpuslake.llm.pieces import encode_pieces
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_jump_shard, op5_quality_rules, op7_token_counts, op8_minhash_near_dedup, op10_sentencepiece)}
 
 ORACLE_SQL: dict[str, str] = {}
