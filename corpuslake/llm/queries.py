@@ -45,6 +45,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_jump_shard, op5_quality_rules, op7_token_counts, op8_minhash_near_dedup, op10_sentencepiece)}
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslake.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslake.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslake.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_jump_shard, op5_quality_rules, op7_token_counts, op8_minhash_near_dedup, op10_sentencepiece, op9_benchmark_decontamination, op6_license_scan, op3_html_extraction)}
 
 ORACLE_SQL: dict[str, str] = {}
