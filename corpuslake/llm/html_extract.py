@@ -139,30 +139,33 @@ def blocks(page: str) -> list[Block]:
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "furniture", "in_main", "page_has_main", "heading")
 
-#: The labelled table: the features in order, then 1 for main text.
-LABELLED = (
-    # menus, link lists and footers without marks in their tags
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (6, 1.0, 2, 1.0, 5, 0.9, 0, 0, 0, 0, 0),
-    (12, 0.9, 0, 0.0, 40, 0.0, 0, 0, 0, 0, 0), (9, 0.8, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 8, 1.0, 0, 0.0, 0, 0, 0, 0, 0),
-    (4, 0.0, 2, 1.0, 6, 0.7, 0, 0, 0, 0, 0), (20, 0.7, 4, 0.5, 9, 1.0, 0, 0, 0, 0, 0), (7, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (30, 0.6, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    # the same inside a page that marks its article
-    (8, 0.0, 1, 1.0, 12, 0.0, 1, 0, 1, 0, 0), (15, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0, 0), (40, 0.0, 80, 0.0, 20, 0.0, 1, 0, 1, 0, 0),
-    (25, 0.1, 30, 0.0, 30, 0.0, 1, 1, 1, 0, 0), (12, 0.0, 50, 0.0, 50, 0.0, 1, 1, 1, 0, 0), (3, 0.0, 45, 0.0, 25, 0.0, 1, 1, 1, 1, 0), (60, 0.0, 20, 0.0, 70, 0.0, 1, 1, 1, 0, 0),
-    (10, 0.0, 2, 1.0, 14, 0.0, 0, 0, 1, 0, 0), (22, 0.0, 9, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (5, 1.0, 5, 1.0, 5, 1.0, 0, 0, 1, 0, 0), (35, 0.0, 90, 0.0, 10, 0.0, 0, 0, 1, 0, 0),
-    (9, 1.0, 60, 0.0, 40, 0.0, 1, 1, 1, 0, 0), (4, 1.0, 70, 0.0, 0, 0.0, 1, 1, 1, 0, 0), (2, 0.0, 0, 0.0, 1, 1.0, 1, 0, 1, 1, 0), (70, 0.0, 15, 0.0, 12, 0.0, 0, 0, 1, 0, 0),
-    # furniture of pages without a marked article
-    (30, 0.0, 80, 0.0, 25, 0.0, 1, 0, 0, 0, 0), (8, 0.0, 3, 1.0, 90, 0.0, 1, 0, 0, 0, 0), (55, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (3, 1.0, 3, 1.0, 60, 0.0, 1, 0, 0, 0, 0),
-    # paragraphs, lists and headings of marked articles, short ones too
-    (8, 0.0, 8, 0.0, 9, 0.0, 0, 1, 1, 1, 1), (9, 0.0, 8, 0.0, 60, 0.0, 0, 1, 1, 0, 1), (1, 0.0, 30, 0.0, 1, 0.0, 0, 1, 1, 0, 1), (1, 0.0, 1, 0.0, 45, 0.0, 0, 1, 1, 0, 1),
-    (80, 0.0, 9, 0.0, 70, 0.0, 0, 1, 1, 0, 1), (65, 0.1, 80, 0.0, 14, 0.0, 0, 1, 1, 0, 1), (20, 0.3, 60, 0.0, 40, 0.0, 0, 1, 1, 0, 1), (4, 0.0, 50, 0.0, 50, 0.0, 0, 1, 1, 1, 1),
-    (150, 0.0, 10, 0.0, 12, 0.0, 0, 1, 1, 0, 1), (3, 0.0, 60, 0.0, 15, 0.0, 0, 1, 1, 0, 1), (10, 0.4, 70, 0.0, 30, 0.0, 0, 1, 1, 0, 1), (2, 0.0, 8, 1.0, 20, 0.0, 0, 1, 1, 1, 1),
-    (6, 1.0, 60, 0.0, 50, 0.0, 0, 1, 1, 0, 1), (30, 0.0, 40, 0.0, 22, 0.0, 0, 1, 1, 0, 1), (12, 0.0, 11, 0.0, 15, 0.0, 0, 1, 1, 0, 1), (1, 0.0, 12, 0.0, 8, 0.0, 0, 1, 1, 0, 1),
-    # and of pages without a marked article
-    (80, 0.0, 9, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (65, 0.1, 80, 0.0, 14, 0.0, 0, 0, 0, 0, 1), (150, 0.0, 10, 0.0, 12, 0.0, 0, 0, 0, 0, 1), (12, 0.0, 70, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
-    (25, 0.1, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (40, 0.2, 12, 0.0, 50, 0.1, 0, 0, 0, 0, 1), (6, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 1, 1), (8, 0.0, 2, 1.0, 70, 0.0, 0, 0, 0, 1, 1),
-    (18, 0.0, 30, 0.0, 20, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (30, 0.3, 60, 0.0, 25, 0.1, 0, 0, 0, 0, 1), (22, 0.0, 25, 0.0, 1, 1.0, 0, 0, 0, 0, 1),
+#: Labelled blocks whose place decides, whatever stands beside them: words, link density, furniture, in_main,
+#: page_has_main, heading, then 1 for main text.
+PLACED = (
+    (1, 0.0, 0, 1, 1, 0, 1), (3, 0.0, 0, 1, 1, 1, 1), (8, 0.0, 0, 1, 1, 1, 1), (6, 1.0, 0, 1, 1, 0, 1), (12, 0.4, 0, 1, 1, 0, 1), (30, 0.1, 0, 1, 1, 0, 1), (90, 0.0, 0, 1, 1, 0, 1), (300, 0.0, 0, 1, 1, 0, 1),
+    (1, 0.0, 1, 1, 1, 0, 0), (2, 1.0, 1, 1, 1, 0, 0), (3, 0.0, 1, 1, 1, 1, 0), (12, 0.0, 1, 1, 1, 0, 0), (25, 0.1, 1, 1, 1, 0, 0), (60, 0.0, 1, 1, 1, 0, 0), (200, 0.0, 1, 1, 1, 0, 0),
+    (1, 1.0, 0, 0, 1, 0, 0), (5, 1.0, 0, 0, 1, 0, 0), (2, 0.0, 0, 0, 1, 1, 0), (10, 0.0, 0, 0, 1, 0, 0), (22, 0.0, 0, 0, 1, 0, 0), (35, 0.1, 0, 0, 1, 0, 0), (70, 0.0, 0, 0, 1, 0, 0), (250, 0.0, 0, 0, 1, 0, 0),
+    (1, 1.0, 1, 0, 1, 0, 0), (8, 0.0, 1, 0, 1, 0, 0), (2, 0.0, 1, 0, 1, 1, 0), (15, 0.0, 1, 0, 1, 0, 0), (40, 0.0, 1, 0, 1, 0, 0), (150, 0.0, 1, 0, 1, 0, 0),
+    (1, 1.0, 1, 0, 0, 0, 0), (3, 0.0, 1, 0, 0, 1, 0), (8, 0.0, 1, 0, 0, 0, 0), (30, 0.0, 1, 0, 0, 0, 0), (55, 0.1, 1, 0, 0, 0, 0), (150, 0.0, 1, 0, 0, 0, 0),
+)
+
+#: What may stand before and after those: words and link density, twice.
+NEIGHBOURS = ((0, 0.0, 40, 0.0), (1, 1.0, 1, 1.0), (3, 1.0, 70, 0.0), (60, 0.0, 50, 0.0), (90, 0.1, 2, 1.0), (1, 0.0, 1, 0.0), (25, 0.0, 0, 0.0))
+
+#: Labelled blocks of pages that mark no article and no furniture, where words and links decide: words, link
+#: density, those of the block before and of the block after, heading, then 1 for main text.
+UNPLACED = (
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 0, 0), (6, 1.0, 2, 1.0, 5, 0.9, 0, 0), (12, 0.9, 0, 0.0, 40, 0.0, 0, 0), (9, 0.8, 3, 1.0, 2, 1.0, 0, 0),
+    (3, 0.0, 1, 1.0, 1, 1.0, 0, 0), (5, 0.0, 8, 1.0, 0, 0.0, 0, 0), (4, 0.0, 2, 1.0, 6, 0.7, 0, 0), (20, 0.7, 4, 0.5, 9, 1.0, 0, 0), (7, 0.0, 3, 0.0, 0, 0.0, 0, 0), (30, 0.6, 2, 1.0, 2, 1.0, 0, 0),
+    (3, 0.8, 60, 0.0, 50, 0.0, 0, 0), (40, 0.7, 60, 0.0, 3, 1.0, 0, 0), (2, 0.0, 1, 1.0, 2, 0.0, 1, 0), (15, 0.9, 40, 0.0, 0, 0.0, 0, 0), (80, 0.9, 1, 1.0, 5, 1.0, 0, 0), (4, 0.0, 2, 0.0, 3, 0.0, 0, 0),
+    (80, 0.0, 9, 0.0, 70, 0.0, 0, 1), (65, 0.1, 80, 0.0, 14, 0.0, 0, 1), (150, 0.0, 10, 0.0, 12, 0.0, 0, 1), (12, 0.0, 70, 0.0, 60, 0.0, 0, 1), (25, 0.1, 40, 0.0, 3, 1.0, 0, 1), (40, 0.2, 12, 0.0, 50, 0.1, 0, 1),
+    (6, 0.0, 60, 0.0, 50, 0.0, 1, 1), (8, 0.0, 2, 1.0, 70, 0.0, 1, 1), (18, 0.0, 30, 0.0, 20, 0.0, 0, 1), (3, 0.0, 50, 0.0, 40, 0.0, 0, 1), (30, 0.3, 60, 0.0, 25, 0.1, 0, 1), (22, 0.0, 25, 0.0, 1, 1.0, 0, 1),
+    (300, 0.0, 1, 1.0, 2, 1.0, 0, 1), (60, 0.0, 3, 0.0, 0, 0.0, 0, 1), (45, 0.1, 1, 1.0, 30, 0.0, 0, 1), (16, 0.0, 45, 0.0, 90, 0.0, 0, 1), (4, 0.0, 3, 0.0, 80, 0.0, 1, 1), (28, 0.0, 0, 0.0, 26, 0.0, 0, 1),
 )
 
+#: The labelled table: the features in order, then 1 for main text.
+LABELLED = tuple((w, d, *beside, bad, main, has, head, y) for w, d, bad, main, has, head, y in PLACED for beside in NEIGHBOURS) + tuple((w, d, wb, db, wa, da, 0, 0, 0, head, y) for w, d, wb, db, wa, da, head, y in UNPLACED)
+
 
 def train(rows=LABELLED, depth: int = 8) -> tuple:
     """A tree of (feature, threshold, left, right) and leaves 0 or 1, by least Gini impurity; ties go to the earlier feature and lower threshold."""
