@@ -69,6 +69,12 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_jump_shard, op5_quality_rules, op7_token_counts, op8_minhash_near_dedup, op10_sentencepiece, op9_benchmark_decontamination, op6_license_scan, op3_html_extraction, op1_lm_score)}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpuslake.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_jump_shard, op5_quality_rules, op7_token_counts, op8_minhash_near_dedup, op10_sentencepiece, op9_benchmark_decontamination, op6_license_scan, op3_html_extraction, op1_lm_score, op2_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
