@@ -148,14 +148,26 @@ def _links(pairs: DataFrame, texts: DataFrame, planes: DataFrame, cfg: Config) -
     return sure.where(100 * F.col("both") >= cfg.percent * (F.col("total") - F.col("both"))).select("a", "b")
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links; only links between components are worked on."""
+    ends = links
+    for x in "ab":
+        label = comp.select(F.col("id").alias(x), F.col("comp").alias("c"))
+        ends = ends.join(label, x, "left").withColumn(x, F.coalesce("c", x)).drop("c")
+    new = staged(components(ends), "merges")
+    to = new.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    old = comp.join(to, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return old.unionByName(new.join(comp, "id", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Documents with equal word sequences form a class, and the smallest doc_id stands for it. Candidates are
     pairs of class representatives in a bucket. A bucket doesn't emit all its pairs: in the first round each
     member is paired with the bucket's smallest id. In later rounds, a bucket whose members are all in one
-    component is done; in the others, up to ``hubs`` members of the smallest components are paired with the
-    members outside their component, then leave the bucket. So each pair that shares a bucket has been
+    component is done; in the others, up to ``hubs`` members of the smallest components (8 times as many each
+    round) are paired with the members outside their component, then leave the bucket. So each pair that shares a bucket has been
     tested or is connected in the end, and a large group of copies is done after a round or two.
 
     Links are confirmed on the full sets. Null and empty texts have no shingles, are linked with nothing and
@@ -167,13 +179,14 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     some = sigs.where("n_shingles > 0 AND id IS NOT NULL")
     classes = staged(some.groupBy("c1", "c2").agg(F.min("id").alias("rep")), "classes")
-    reps = some.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    reps = staged(some.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "keys", "planes"), "representatives")
     entries = reps.select("id", F.explode("keys").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
     active = staged(entries.join(shared, "bucket").select("bucket", "id", "hub").where("id <> hub"), "buckets")
     planes = reps.select("id", "planes")
     links = staged(_links(active.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), texts, planes, cfg), "links")
     comp = staged(components(links), "components")
+    hubs_each = cfg.hubs
     while True:
         labelled = active.join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
         counts = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
@@ -181,15 +194,15 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
         live = staged(labelled.join(mixed, "bucket", "left_semi").join(counts, ["bucket", "comp"]), "live")
         if live.isEmpty():
             break
-        slot = F.pmod(F.xxhash64("id", "bucket"), F.lit(cfg.hubs))
+        slot = F.pmod(F.xxhash64("id", "bucket"), F.lit(hubs_each))
         hubs = live.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("n", "id", "comp")).alias("h"))
         each = staged(hubs.select("bucket", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
         pairs = live.join(each, "bucket").where("comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         more = staged(_links(pairs, texts, planes, cfg), "links")
         if not more.isEmpty():
-            links = links.union(more)
-            comp = staged(components(links), "components")
+            comp = staged(_merged(comp, more), "components")
         active = staged(live.join(each.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id"), "buckets")
+        hubs_each *= 8
     named = classes.join(comp, classes.rep == comp.id, "left").select("c1", "c2", F.coalesce("comp", "rep").alias("comp"))
     found = sigs.join(named, ["c1", "c2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("id"))
