@@ -72,11 +72,16 @@ def render(tokenizer, messages: list[dict[str, str]]) -> str:
     return f"{merged}\n\nCorrected sentence:"
 
 
+def chat_json(bad: Column, good: Column) -> Column:
+    """The JSON line of a pair: system, user and assistant messages."""
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    messages = F.array(message("system", F.lit(CORRECTION_SYSTEM)), message("user", F.concat(F.lit(CORRECTION_USER), bad)), message("assistant", good))
+    return F.to_json(F.struct(messages.alias("messages")))
+
+
 def to_chat_json(df: DataFrame) -> DataFrame:
     """value: a JSON line for each pair of incorrect_sentence and correct_sentence."""
-    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    messages = F.array(message("system", F.lit(CORRECTION_SYSTEM)), message("user", F.concat(F.lit(CORRECTION_USER), F.col("incorrect_sentence"))), message("assistant", F.col("correct_sentence")))
-    return df.select(F.to_json(F.struct(messages.alias("messages"))).alias("value"))
+    return df.select(chat_json(F.col("incorrect_sentence"), F.col("correct_sentence")).alias("value"))
 
 
 def pair_of_line(line: Column) -> Column:

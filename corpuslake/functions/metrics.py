@@ -75,13 +75,14 @@ def _chrf_grams(text: Column, chars: int, words: int) -> Column:
                                  .when(w.rlike("^" + punct), F.array(F.substr(w, F.lit(1), F.lit(1)), F.substr(w, F.lit(2)))).otherwise(F.array(w))))
 
     def of(x: Column) -> Column:
-        parts = []
-        for n in range(1, chars + 1):
-            some = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x["c"]) - (n - 1), F.lit(1))), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.substr(x["c"], i, F.lit(n)).alias("gram")))
-            parts.append(F.when(F.length(x["c"]) >= n, some))
-        for n in range(1, words + 1):
-            some = F.transform(ngrams(x["w"], n), lambda g, n=n: F.struct(F.lit(chars + n).alias("n"), F.array_join(g, " ").alias("gram")))
-            parts.append(some)
+        def by_chars(n: int) -> Column:
+            places = F.sequence(F.lit(1), F.greatest(F.length(x["c"]) - (n - 1), F.lit(1)))
+            return F.when(F.length(x["c"]) >= n, F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.substr(x["c"], i, F.lit(n)).alias("gram"))))
+
+        def by_words(n: int) -> Column:
+            return F.transform(ngrams(x["w"], n), lambda g: F.struct(F.lit(chars + n).alias("n"), F.array_join(g, " ").alias("gram")))
+
+        parts = [by_chars(n) for n in range(1, chars + 1)] + [by_words(n) for n in range(1, words + 1)]
         none = F.array().cast("array<struct<n:int,gram:string>>")
         return F.flatten(F.array(*[F.coalesce(p, none) for p in parts]))
 
@@ -184,7 +185,7 @@ def shift_free_edits(a: Column, b: Column) -> Column:
     """Word edit distance, a bound of TER's edits: words become code points of the private use area, by first place in both texts."""
 
     def coded(x: Column) -> Column:
-        code = lambda w: F.decode(F.unhex(F.hex(F.lit(57343) + F.array_position(x["all"], w).cast("int"))), F.lit("UTF-16BE"))
+        code = lambda w: F.decode(F.unhex(F.hex(F.lit(57343) + F.array_position(x["all"], w).cast("int"))), "UTF-16BE")
         text = lambda ws: F.array_join(F.transform(ws, code), "")
         return F.levenshtein(text(x["a"]), text(x["b"]))
 

@@ -15,10 +15,16 @@ SUCCESS = ("success", "success_order_aligned")
 
 def _raw_items(t: Column) -> Column:
     """Raw JSON of the items in a JSON text: those of an object's `errors`, or of an array; null if it doesn't parse."""
-    as_object = F.from_json(t, "errors string, _corrupt string", {**_STRICT, "columnNameOfCorruptRecord": "_corrupt"})
     none = F.array().cast("array<string>")
-    listed = F.coalesce(F.from_json(as_object["errors"], "array<string>", _STRICT), none)
-    return F.when(t.startswith("{") & t.endswith("}") & as_object["_corrupt"].isNull() & as_object.isNotNull(), listed).when(t.startswith("[") & t.endswith("]"), F.from_json(t, "array<string>", _STRICT))
+    # as the only element of an array, so that nothing may follow the value
+    alone = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>", _STRICT)
+
+    def of(x: Column) -> Column:
+        listed = F.from_json(F.get(x, F.lit(0)), "errors string", _STRICT)["errors"]
+        whole = F.from_json(F.get(x, F.lit(0)), "array<string>", _STRICT)
+        return F.when(F.size(x) == 1, F.when(t.startswith("{") & t.endswith("}"), F.coalesce(F.from_json(listed, "array<string>", _STRICT), none)).when(t.startswith("[") & t.endswith("]"), whole))
+
+    return let(alone, of)
 
 
 def extract_items(raw: Column) -> Column:

@@ -49,12 +49,12 @@ def chunks(c: Column, most: int = 30, least: int = 5) -> Column:
     """
 
     def cut(buffer: Column) -> Column:
-        out = F.struct(F.array(buffer).alias("done"), F.lit("").alias("rest"))
-        for mark in reversed(L.CHUNK_MARKS):
+        def at(mark: str, rest: Column) -> Column:
             pieces = F.split(buffer, mark)
-            done = F.transform(F.filter(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), strip), lambda p: p != ""), lambda p, mark=mark: F.concat(p, F.lit(mark)))
-            out = F.when(F.contains(buffer, F.lit(mark)), F.struct(done.alias("done"), strip(F.element_at(pieces, -1)).alias("rest"))).otherwise(out)
-        return out
+            done = F.transform(F.filter(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), strip), lambda p: p != ""), lambda p: F.concat(p, F.lit(mark)))
+            return F.when(F.contains(buffer, F.lit(mark)), F.struct(done.alias("done"), strip(F.element_at(pieces, -1)).alias("rest"))).otherwise(rest)
+
+        return reduce(lambda rest, mark: at(mark, rest), reversed(L.CHUNK_MARKS), F.struct(F.array(buffer).alias("done"), F.lit("").alias("rest")))
 
     def step(state: Column, word: Column) -> Column:
         buffer = F.when(state["rest"] == "", word).otherwise(F.concat_ws(" ", state["rest"], word))
