@@ -30,7 +30,7 @@ class Config:
     rows: int = 5
     bits: int = 4
     slack: float = 0.2
-    hubs: int = 8
+    hubs: int = 16
 
     @property
     def minima(self) -> int:
@@ -139,7 +139,7 @@ def shingle_set(text: Column, k: int) -> Column:
 def _links(pairs: DataFrame, texts: DataFrame, planes: DataFrame, cfg: Config) -> DataFrame:
     """Those of pairs (a < b) whose full sets have the similarity."""
     pa_, pb = (planes.select(F.col("id").alias(x), F.col("planes").alias(f"p{x}")) for x in "ab")
-    likely = staged(pairs.join(pa_, "a").join(pb, "b").where(estimate(F.col("pa"), F.col("pb"), cfg) >= cfg.percent / 100 - cfg.slack).select("a", "b").distinct(), "likely")
+    likely = staged(pairs.join(pa_, "a").join(pb, "b").where(estimate(F.col("pa"), F.col("pb"), cfg) >= cfg.percent / 100 - cfg.slack).select("a", "b"), "likely")
     ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
     sets = staged(texts.join(ids, "id", "left_semi").select("id", shingle_set(F.col("text"), cfg.k).alias("s")), "sets")
     sa, sb = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     Documents with equal word sequences form a class, and the smallest doc_id stands for it. Candidates are
     pairs of class representatives in a bucket. A bucket doesn't emit all its pairs: in the first round each
     member is paired with the bucket's smallest id. In later rounds, a bucket whose members are all in one
-    component is done; in the others, up to ``hubs`` members of the smallest components (8 times as many each
+    component is done; in the others, up to ``hubs`` members of the smallest components (16 times as many each
     round) are paired with the members outside their component, then leave the bucket. So each pair that shares a bucket has been
     tested or is connected in the end, and a large group of copies is done after a round or two.
 
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
         if not more.isEmpty():
             comp = staged(_merged(comp, more), "components")
         active = staged(live.join(each.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id"), "buckets")
-        hubs_each *= 8
+        hubs_each *= 16
     named = classes.join(comp, classes.rep == comp.id, "left").select("c1", "c2", F.coalesce("comp", "rep").alias("comp"))
     found = sigs.join(named, ["c1", "c2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("id"))
