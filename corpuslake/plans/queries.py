@@ -106,7 +106,7 @@ def sql_fusions(x: str) -> str:
 
 # RE2 has ASCII word boundaries alone, so numbers are taken with the characters beside them, in two passes
 SQL_NOISE = (
-    (f"https?://{NS}+", ""), (rf"www\.{NS}+", ""), (rf"{NS}+@{NS}+\.{NS}+", ""), ("<[^>]+>", ""), ("&[a-zA-Z]+;", ""), (r"\b[0-9۰-۹٠-٩]+\b", ""),
+    (f"https?://{NS}+", ""), (rf"www\.{NS}+", ""), (rf"{NS}+@{NS}+\.{NS}+", ""), ("<[^>]+>", ""), ("&[a-zA-Z]+;", ""), *[(r"(^|[^\p{L}\p{M}\p{Nd}\p{Pc}])[0-9۰-۹٠-٩]+($|[^\p{L}\p{M}\p{Nd}\p{Pc}])", r"\1\2")] * 2,
     ("۔{2,}", "۔"), ("؟{2,}", "؟"), ("!{2,}", "!"), ("-{3,}", " "), (f"{S}+", " "),
 )
 
