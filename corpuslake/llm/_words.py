@@ -96,13 +96,26 @@ class Words:
         closes &= ~space
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(closes) + 1
-        up, down = _power_table(n + 1)
-        sums = np.empty(n + 1, U64)
-        sums[0] = 0
-        np.cumsum((self.raw.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        self.hashes = self.hash_spans(self.starts, self.ends)
         self.first = np.searchsorted(self.starts, self.breaks)
 
+    def hash_spans(self, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
+        """Hashes of ascending byte ranges, in chunks of about that many bytes, so that the power tables stay small."""
+        out = np.empty(len(starts), U64)
+        at = 0
+        while at < len(starts):
+            low = int(starts[at])
+            stop = max(at + 1, int(np.searchsorted(starts, low + chunk)))
+            part = self.raw[low : int(ends[stop - 1])]
+            up, down = _power_table(len(part) + 1)
+            sums = np.empty(len(part) + 1, U64)
+            sums[0] = 0
+            np.cumsum((part.astype(U64) + U64(1)) * up[: len(part)], out=sums[1:])
+            a, b = starts[at:stop] - low, ends[at:stop] - low
+            out[at:stop] = mix((sums[b] - sums[a]) * down[a])
+            at = stop
+        return out
+
     def text_of_word(self) -> np.ndarray:
         """The index of each word's text."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

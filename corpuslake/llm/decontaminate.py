@@ -47,8 +47,6 @@ class Config:
 
 def trimmed_words(column: pa.Array) -> Words:
     """Words without punctuation at the edges; words of punctuation alone go."""
-    from corpuslake.llm import _words
-
     w = Words(column)
     starts, ends = w.starts.copy(), w.ends.copy()
     for side, at in ((1, starts), (-1, ends)):
@@ -61,9 +59,7 @@ def trimmed_words(column: pa.Array) -> Words:
     changed = np.flatnonzero(keep & ((starts != w.starts) | (ends != w.ends)))
     hashes = w.hashes.copy()
     if len(changed):
-        _, down = _words._power_table(len(w.raw) + 1)
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum((w.raw.astype(U64) + U64(1)) * _words._power_table(len(w.raw) + 1)[0][: len(w.raw)])])
-        hashes[changed] = mix((sums[ends[changed]] - sums[starts[changed]]) * down[starts[changed]])
+        hashes[changed] = w.hash_spans(starts[changed], ends[changed])
     gone = np.concatenate([[0], np.cumsum(~keep)])
     w.first = w.first - gone[w.first]
     w.starts, w.ends, w.hashes = starts[keep], ends[keep], hashes[keep]

@@ -33,8 +33,8 @@ class Config:
     bucket gets; their numbers follow the input. hot: the share of tokens from which a word is spread."""
 
     add: float = 0.1
-    batch_bytes: int = 16 << 20
-    bucket_bytes: int = 40 << 20
+    batch_bytes: int = 8 << 20
+    bucket_bytes: int = 16 << 20
     hot: float = 1 / 512
 
 
