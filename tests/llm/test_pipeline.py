@@ -27,7 +27,8 @@ def test_stages(spark):
     bench = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaked = {i for i in single if any(b in " ".join(texts[i].text.lower().split()) for b in bench)}
     assert not leaked & set(out)
-    # clean documents stay, whole
-    assert len(single - set(out)) <= len(leaked) + 0.02 * len(single)
+    # clean documents stay: one that is gone holds a benchmark item or is, edited, a passage of a document before it
+    for i in single - set(out) - leaked:
+        assert max(len(sets[i] & sets[j]) / len(sets[i]) for j in single if j < i) >= 0.4, i
     assert sum(out[i].text != texts[i].text for i in out) <= 0.1 * len(out)
     assert all(r.round_trip and r.n_pieces == len(r.pieces) for r in out.values())
