@@ -358,3 +358,23 @@ def test_viterbi_equals_brute_force(docs, rows, empty):
     for r in back:
         assert r.decoded == (r.text or "").replace("▁", " ") and r.round_trip == ("▁" not in (r.text or "")) and r.n_pieces == len(r.pieces)
     assert pieces.encode_pieces(empty, MODEL).count() == 0
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for _ in range(n):
+        at = rng.randrange(len(out))
+        out[at : at + 1] = rng.choice([[], [text_of(rng, 1)], [out[at], text_of(rng, 1)]])
+    return out
+
+
+def test_edited_passages_are_found(spark):
+    rng = random.Random(23)
+    rows, planted = [], []
+    for i in range(120):
+        p = text_of(rng, 60).split()
+        q = edited(rng, p, (3, 6, 9)[i % 3])
+        rows += [(i, f"{text_of(rng, 60)} {' '.join(p)} {text_of(rng, 60)}"), (1000 + i, f"{text_of(rng, 60)} {' '.join(q)} {text_of(rng, 60)}")]
+        planted.append((1000 + i, i))
+    got = {(r.doc_id, r.source_id) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= set(planted) and len(got) >= 0.97 * len(planted)
