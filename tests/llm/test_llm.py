@@ -378,3 +378,21 @@ def test_edited_passages_are_found(spark):
         planted.append((1000 + i, i))
     got = {(r.doc_id, r.source_id) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got <= set(planted) and len(got) >= 0.97 * len(planted)
+
+
+@pytest.mark.parametrize("parts", [[(0, 30), (30, 60)], [(0, 38), (22, 60)], [(0, 20), (20, 40), (40, 60)]])
+def test_passage_whose_parts_others_hold(spark, parts):
+    rng = random.Random(29)
+    rows, whole = [], {}
+    for i in range(20):
+        p = text_of(rng, 60).split()
+        for j, (a, b) in enumerate([*parts, (0, 60), (0, 60)]):
+            head = text_of(rng, 50)
+            rows.append((100 * i + j, f"{head} {' '.join(p[a:b])} {text_of(rng, 50)}"))
+            whole[100 * i + j] = (len(head) + 1, len(head) + 1 + len(" ".join(p)))
+    spans = defaultdict(set)
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans[r.doc_id] |= set(range(r.start_byte, r.end_byte))
+    for i in range(20):
+        d = 100 * i + len(parts) + 1
+        assert set(range(*whole[d])) <= spans[d]
