@@ -3,7 +3,8 @@
 Both sides are sequences of words: lower-cased A-Z, ASCII punctuation at a word's edges taken off. A window
 of a document has as many words as an item. A random walk embeds a window so that edit distance becomes
 Hamming distance; a bucket key samples some positions of the embedding; windows that share a key with an
-item of their size are confirmed by exact edit distance.
+item of their size are confirmed by exact edit distance. So are all windows that hold enough of an item's word
+triples, which every window within the limit does: no case within the limit depends on the buckets.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ _OUT = "doc_id long, item_id long, distance int, item_words int, start_byte long
 @dataclass(frozen=True)
 class Config:
     """similarity: least share of an item's words that survives editing. walks * keys buckets of `sample`
-    positions each; a window and an item that share `votes` buckets are compared. With 20 % of words edited an
-    embedding agrees in about half its positions, so of 64 buckets of 2 positions 16 are shared on average, and
-    fewer than 3 with probability 3e-6. min_words: shorter items are no evidence and are skipped.
+    positions each; a window and an item that share `votes` buckets are compared. The keys of a walk that has
+    lost step fail together, so buckets alone lose cases at the limit, most of all deletions in long items; windows
+    that pass the bound of word triples are compared without them. min_words: shorter items are no evidence and are
+    skipped.
     block_bytes: items are sent to the workers in blocks of this size, so what is broadcast is bounded.
     """
 
@@ -80,6 +82,13 @@ class Items:
         self.lengths = np.unique(self.size)
         triples = [roll(x, np.array([0, len(x)]), 3)[0] for x in self.words]
         self.vocabulary = np.unique(np.concatenate(triples)) if len(use) else np.zeros(0, U64)
+        pairs = [np.unique(t) for t in triples]
+        holder = np.repeat(np.arange(len(use)), [len(t) for t in pairs])
+        flat = np.concatenate(pairs) if len(use) else np.zeros(0, U64)
+        order = np.argsort(flat, kind="stable")
+        self.triples, self.holder = flat[order], holder[order]
+        #: triples of an item that a window within the limit holds at least
+        self.least = np.maximum(1, self.size - 2 - 3 * cfg.edits(self.size))
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.vocabulary >> U64(44)).astype(np.int64)] = True
         rng = np.random.Generator(np.random.PCG64(40409))
@@ -103,6 +112,27 @@ class Items:
         out[some] = self.vocabulary[at] == hashes[some]
         return out
 
+    def by_triples(self, triple: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, first word) of all windows that hold `least` triples of an item; at: the places of triples to look at."""
+        lo, hi = np.searchsorted(self.triples, triple[at], "left"), np.searchsorted(self.triples, triple[at], "right")
+        times = hi - lo
+        ends = np.cumsum(times)
+        pick = np.repeat(lo - (ends - times), times) + np.arange(int(ends[-1]) if len(ends) else 0)
+        item, place = self.holder[pick], np.repeat(at, times)
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        # the windows that hold the triples i to i + least - 1 of an item
+        final = np.arange(len(item)) + self.least[item] - 1
+        ok = np.flatnonzero(final < len(item))
+        ok = ok[item[final[ok]] == item[ok]]
+        low = np.maximum(0, place[final[ok]] - (self.size[item[ok]] - 3))
+        some = np.flatnonzero(low <= place[ok])
+        ok, low = ok[some], low[some]
+        times = place[ok] - low + 1
+        ends = np.cumsum(times)
+        start = np.repeat(low - (ends - times), times) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return np.repeat(item[ok], times), start
+
     def embed(self, flat: np.ndarray, starts: np.ndarray, stops: np.ndarray, walk: int, steps: int) -> np.ndarray:
         """The first steps of the embeddings of the sequences that begin at starts: steps x sequences.
 
@@ -158,7 +188,8 @@ def search(w: Words, items: Items) -> Iterator[tuple[int, int, int, int, int, in
     n = len(w.hashes)
     triple, _ = roll(w.hashes, np.array([0, n]), 3)
     sums = np.zeros(n + int(items.lengths[-1]) + 1, np.int64)
-    np.cumsum(items.known(triple), out=sums[1 : len(triple) + 1])
+    known = items.known(triple)
+    np.cumsum(known, out=sums[1 : len(triple) + 1])
     sums[len(triple) + 1 :] = sums[len(triple)]
     of = w.text_of_word()
     last = w.first[1:][of]
@@ -169,7 +200,11 @@ def search(w: Words, items: Items) -> Iterator[tuple[int, int, int, int, int, in
         units.append(here)
         sizes.append(np.full(len(here), m))
     unit, size = np.concatenate(units), np.concatenate(sizes)
-    met = []
+    inside = np.zeros(n + int(items.lengths[-1]) + 1, np.int64)
+    np.add.at(inside, unit, 1)
+    np.add.at(inside, unit + size, -1)
+    item, start = items.by_triples(triple, np.flatnonzero(known & (np.cumsum(inside)[: len(triple)] > 0)))
+    met = [np.unique(item.astype(np.int64) * n + start)]
     for a in range(0, len(unit), 50_000):
         u, s = unit[a : a + 50_000], size[a : a + 50_000]
         starts, row = np.unique(u, return_inverse=True)
@@ -183,8 +218,6 @@ def search(w: Words, items: Items) -> Iterator[tuple[int, int, int, int, int, in
             votes.append(items.owner[pick].astype(np.int64) * n + np.repeat(u[at], times))
         pair, count = np.unique(np.concatenate(votes), return_counts=True)
         met.append(pair[count >= cfg.votes])
-    if not met:
-        return
     pair = np.stack(np.divmod(np.concatenate(met), n))
     for i in np.unique(pair[0]):
         starts = np.unique(pair[1][pair[0] == i])

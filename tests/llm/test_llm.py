@@ -396,3 +396,19 @@ def test_passage_whose_parts_others_hold(spark, parts):
     for i in range(20):
         d = 100 * i + len(parts) + 1
         assert set(range(*whole[d])) <= spans[d]
+
+
+@pytest.mark.parametrize("kind", ["replaced", "inserted", "deleted"])
+def test_decontamination_at_the_limit(spark, kind):
+    rng = random.Random(31)
+    items, texts = [], []
+    for n in (8, 20, 40, 60, 100, 150):
+        for _ in range(20):
+            words = text_of(rng, n).split()
+            items.append(" ".join(words))
+            for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+                words[at : at + 1] = {"replaced": [text_of(rng, 1)], "inserted": [words[at], text_of(rng, 1)], "deleted": []}[kind]
+            texts.append(f"{text_of(rng, 20)} {' '.join(words)} {text_of(rng, 20)}")
+    docs, bench = (spark.createDataFrame(list(enumerate(x)), f"{name} long, text string") for x, name in ((texts, "doc_id"), (items, "item_id")))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got >= {(i, i) for i in range(len(items))}
