@@ -505,12 +505,17 @@ def prediction_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- evaluation --------------------------------------------------------------------------------------------------
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three successive turns in ASCII as source, reference and prediction."""
+def all_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three successive turns as source, reference and prediction."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     norm = T.normalize_for_scoring
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), norm(F.col("text")).alias("error_sentence"), F.lead("text", 1).over(w).alias("r"), F.lead("text", 2).over(w).alias("p"))
-    rows = rows.where("r IS NOT NULL AND p IS NOT NULL").select("sample_id", "error_sentence", norm(F.col("r")).alias("correct_sentence"), norm(F.col("p")).alias("prediction"))
+    return rows.where("r IS NOT NULL AND p IS NOT NULL").select("sample_id", "error_sentence", norm(F.col("r")).alias("correct_sentence"), norm(F.col("p")).alias("prediction"))
+
+
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triples in ASCII, for the queries whose SQL takes only these."""
+    rows = all_triples(spark, sf_dir)
     return rows.where(~F.concat("error_sentence", "correct_sentence", "prediction").rlike(r"[^\x00-\x7f]"))
 
 
@@ -571,7 +576,7 @@ def chrf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ter_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.ter(spread(triples(spark, sf_dir)))
+    return M.ter(spread(all_triples(spark, sf_dir)))
 
 
 @query(f"""with {SQL_TRIPLES} select sample_id, len({sql_tokens('lower(prediction)')})::integer as n_words, len({sql_tokens('lower(correct_sentence)')})::integer as n_ref from triples""")
@@ -581,4 +586,4 @@ def ter_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ter_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triples(spark, sf_dir).select("sample_id", M.shift_free_edits(F.col("prediction"), F.col("correct_sentence")).alias("edits"))
+    return all_triples(spark, sf_dir).select("sample_id", M.shift_free_edits(F.col("prediction"), F.col("correct_sentence")).alias("edits"))

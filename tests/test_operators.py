@@ -140,3 +140,33 @@ def test_generators(spark):
 
     assert render(Strict(), [{"role": "system", "content": "S"}, {"role": "user", "content": "U"}]) == "S\n\nU"
     assert render(None, [{"role": "user", "content": "U"}]) == "U\n\nCorrected sentence:"
+
+
+def test_ter_queries_take_all_triples(spark):
+    from collections import defaultdict
+
+    from corpuslake.functions.metrics import ter_edits
+    from corpuslake.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns[r.conv_id].append(r)
+    ids = {a.conv_id * 1000 + a.turn for t in turns.values() for a, b, c in zip(t, t[1:], t[2:]) if b.text is not None and c.text is not None}
+    rows = {r.sample_id: r for r in Q.all_triples(spark, sf).collect()}
+    assert set(rows) == ids and not all("".join(r[1:]).isascii() for r in rows.values())
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    bound = {r.sample_id: r.edits for r in Q.ter_bound(spark, sf).collect()}
+    assert bound == {i: distance(r.prediction.lower().split(), r.correct_sentence.lower().split()) for i, r in rows.items()}
+    pairs = [ter_edits(r.prediction, r.correct_sentence) for r in rows.values()]
+    got = Q.ter_score(spark, sf).first()
+    assert (got.edits, got.words) == (sum(p[0] for p in pairs), sum(p[1] for p in pairs))
