@@ -412,3 +412,14 @@ def test_decontamination_at_the_limit(spark, kind):
     docs, bench = (spark.createDataFrame(list(enumerate(x)), f"{name} long, text string") for x, name in ((texts, "doc_id"), (items, "item_id")))
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
     assert got >= {(i, i) for i in range(len(items))}
+
+
+def test_two_passages_of_one_source():
+    rng = random.Random(37)
+    p, q = text_of(rng, 45).split(), text_of(rng, 80).split()
+    a, b = [*p, *text_of(rng, 60).split(), *q], [*p, *text_of(rng, 60).split(), *q]
+    found = substring_dedup.longest(a, b, [(0, 0, 45), (105, 105, 80)], 0.8, 40)
+    words = set()
+    for x0, x1, *_ in found:
+        words |= set(range(x0, x1))
+    assert words >= {*range(45), *range(105, 185)}
