@@ -34,9 +34,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode a temporary one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpuslake-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,15 +53,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/corpuslake-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
-def drop_staged(frames: list[DataFrame] | None = None) -> None:
+def drop_staged(*frames: DataFrame) -> None:
     """Delete staged tables; with ``frames``, only those (each as staged() returned it)."""
-    keep = None if frames is None else {f.rstrip("/") for df in frames for p in df.inputFiles() for f in [p.rpartition("/")[0]]}
+    paths = {getattr(df, "_staged_at", None) for df in frames}
     for entry in list(_tables):
         spark, path = entry
-        if keep is not None and not any(path.split("://")[-1] in f for f in keep):
+        if frames and path not in paths:
             continue
         try:
             jvm = spark.sparkContext._jvm
@@ -77,6 +81,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among ids (one column); all columns and rows with a null doc_id stay."""
+    name = fresh(docs, "gone")
+    gone = ids.toDF(name)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm._base import staged
+from corpuslake.llm._base import drop_staged, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(step)
         left = step.select(F.col("id").alias("a"), F.col("to").alias("x"))
         right = step.select(F.col("id").alias("b"), F.col("to").alias("y"))
-        live = staged(live.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        before, live = live, staged(live.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        drop_staged(before)
     if not maps:
         return live.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     label = maps[0].select("id", F.col("to").alias("root"))

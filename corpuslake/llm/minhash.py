@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslake.llm._base import lower_ascii, ship, staged, words_col
+from corpuslake.llm._base import drop_staged, lower_ascii, ship, staged, without, words_col
 from corpuslake.llm._words import U64, Words, mix, pieces
 from corpuslake.llm.components import components
 
@@ -19,17 +19,19 @@ from corpuslake.llm.components import components
 class Config:
     """k: words in a shingle; percent: the least Jaccard similarity; bands * rows minima make the bucket keys.
 
-    At similarity 0.85, a pair shares none of 25 buckets of 5 minima with probability (1 - 0.85**5)**25 = 4e-7,
-    at 0.8 (1 - 0.8**5)**25 = 5e-5. slack: how far below the limit an estimate may fall before a pair is
-    dropped unconfirmed; 0.2 is over six standard deviations of 128 minima.
+    At similarity 0.85, a pair shares none of 36 buckets of 7 minima with probability (1 - 0.85**7)**36 = 9e-7,
+    at 0.8 (1 - 0.8**7)**36 = 2e-4; a pair at 0.5 meets with 0.25. slack: how far below the limit an estimate may
+    fall before a pair is dropped unconfirmed; 0.15 is over six standard deviations of 256 minima. hot: members of
+    a bucket from which shingles that no other member of such buckets has are counted. hubs: see near_duplicates.
     """
 
     k: int = 3
     percent: int = 85
-    bands: int = 25
-    rows: int = 5
+    bands: int = 36
+    rows: int = 7
     bits: int = 4
-    slack: float = 0.2
+    slack: float = 0.15
+    hot: int = 16
     hubs: int = 16
 
     @property
@@ -136,16 +138,45 @@ def shingle_set(text: Column, k: int) -> Column:
     return let(words_col(lower_ascii(text)), of)
 
 
+def _sets(texts: DataFrame, ids: DataFrame, cfg: Config) -> DataFrame:
+    return staged(texts.join(ids, "id", "left_semi").select("id", shingle_set(F.col("text"), cfg.k).alias("s")), "sets")
+
+
+def _possible(cfg: Config, n1: str, s1: str, n2: str, s2: str) -> Column:
+    """Whether sets of n1 and n2 elements, of which at most s1 and s2 occur elsewhere, can have the similarity."""
+    most = F.least(s1, s2)
+    return 100 * most >= cfg.percent * (F.col(n1) + F.col(n2) - most)
+
+
 def _links(pairs: DataFrame, texts: DataFrame, planes: DataFrame, cfg: Config) -> DataFrame:
     """Those of pairs (a < b) whose full sets have the similarity."""
     pa_, pb = (planes.select(F.col("id").alias(x), F.col("planes").alias(f"p{x}")) for x in "ab")
     likely = staged(pairs.join(pa_, "a").join(pb, "b").where(estimate(F.col("pa"), F.col("pb"), cfg) >= cfg.percent / 100 - cfg.slack).select("a", "b"), "likely")
-    ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-    sets = staged(texts.join(ids, "id", "left_semi").select("id", shingle_set(F.col("text"), cfg.k).alias("s")), "sets")
+    sets = _sets(texts, likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct(), cfg)
     sa, sb = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     sure = likely.join(sb, "b").join(sa, "a").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
-    return sure.where(100 * F.col("both") >= cfg.percent * (F.col("total") - F.col("both"))).select("a", "b")
+    links = staged(sure.where(100 * F.col("both") >= cfg.percent * (F.col("total") - F.col("both"))).select("a", "b"), "links")
+    drop_staged(likely, sets)
+    return links
+
+
+def _thinned(members: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
+    """members (bucket, id, n, size) with s, the shingles that can be shared; those that can't be linked in a hot bucket go.
+
+    In buckets of over ``hot`` members, a shingle that one member of all these buckets has is in no intersection.
+    A document edited in many places of its own so drops out before it is paired with anything. The counts are
+    one row for each shingle of the members; the sets of ids that repeat with other texts count as wholly shared.
+    """
+    crowd = members.where(F.col("size") > cfg.hot).select("id").distinct()
+    sets = _sets(texts, crowd, cfg)
+    each = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+    own = each.where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+    once = sets.groupBy("id").agg(F.count("*").alias("c")).where("c = 1").select("id")
+    own = staged(own.join(once, "id", "left_semi"), "own")
+    drop_staged(sets)
+    joined = members.join(own, "id", "left").withColumn("s", F.when(F.col("size") > cfg.hot, F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("n")))
+    return joined.where(100 * F.col("s") >= cfg.percent * F.col("n")).select("bucket", "id", "n", "s")
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -164,11 +195,14 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Documents with equal word sequences form a class, and the smallest doc_id stands for it. Candidates are
-    pairs of class representatives in a bucket. A bucket doesn't emit all its pairs: in the first round each
-    member is paired with the bucket's smallest id. In later rounds, a bucket whose members are all in one
-    component is done; in the others, up to ``hubs`` members of the smallest components (16 times as many each
-    round) are paired with the members outside their component, then leave the bucket. So each pair that shares a bucket has been
-    tested or is connected in the end, and a large group of copies is done after a round or two.
+    pairs of class representatives in a bucket whose set sizes, less the shingles that none but one of them has
+    in large buckets, allow the similarity (_thinned; the bound is exact). A bucket doesn't emit all its pairs:
+    in the first round each member is paired with the member that has the fewest shingles of its own. In later
+    rounds, a bucket whose members are all in one component is done; in the others, up to ``hubs`` members of the
+    smallest components (16 times as many each round) are paired with the members outside their component, then
+    leave the bucket. So each pair that shares a bucket is ruled out by its sizes, tested or connected in the end,
+    and a large group of copies is done after a round or two. Members of a bucket that pass the bounds, aren't
+    similar and don't get connected are all compared in the end; they are as many pairs as the estimates demand.
 
     Links are confirmed on the full sets. Null and empty texts have no shingles, are linked with nothing and
     kept. A null doc_id is linked with nothing either and has a null component; it is kept. Rows that repeat
@@ -179,30 +213,41 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     some = sigs.where("n_shingles > 0 AND id IS NOT NULL")
     classes = staged(some.groupBy("c1", "c2").agg(F.min("id").alias("rep")), "classes")
-    reps = staged(some.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "keys", "planes"), "representatives")
-    entries = reps.select("id", F.explode("keys").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
-    active = staged(entries.join(shared, "bucket").select("bucket", "id", "hub").where("id <> hub"), "buckets")
+    reps = staged(some.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "keys", "planes"), "representatives")
+    entries = reps.select("id", "n", F.explode("keys").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = staged(entries.join(shared, "bucket"), "members")
     planes = reps.select("id", "planes")
-    links = staged(_links(active.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), texts, planes, cfg), "links")
+    active = staged(_thinned(members, texts, cfg), "buckets")
+    drop_staged(members)
+    hub = active.groupBy("bucket").agg(F.min(F.struct(F.col("n") - F.col("s"), "id", "n", "s")).alias("h")).select("bucket", F.col("h.id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.s").alias("hs"))
+    hub = staged(hub, "hubs")
+    met = active.join(hub, "bucket").where((F.col("id") != F.col("hub")) & _possible(cfg, "n", "s", "hn", "hs"))
+    links = _links(met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), texts, planes, cfg)
     comp = staged(components(links), "components")
-    hubs_each = cfg.hubs
+    done, hubs_each = hub.select("bucket", F.col("hub").alias("id")), cfg.hubs
     while True:
-        labelled = active.join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-        counts = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        mixed = counts.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
+        left = active.join(done, ["bucket", "id"], "left_anti")
+        labelled = left.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        counts = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("in_comp"))
+        mixed = counts.groupBy("bucket").agg(F.count("*").alias("comps")).where("comps > 1").select("bucket")
         live = staged(labelled.join(mixed, "bucket", "left_semi").join(counts, ["bucket", "comp"]), "live")
+        drop_staged(active, hub)
         if live.isEmpty():
             break
         slot = F.pmod(F.xxhash64("id", "bucket"), F.lit(hubs_each))
-        hubs = live.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("n", "id", "comp")).alias("h"))
-        each = staged(hubs.select("bucket", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
-        pairs = live.join(each, "bucket").where("comp <> hub_comp").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        more = staged(_links(pairs, texts, planes, cfg), "links")
+        hub = live.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("in_comp", "id", "comp", "n", "s")).alias("h"))
+        hub = staged(hub.select("bucket", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n").alias("hn"), F.col("h.s").alias("hs")), "hubs")
+        pairs = live.join(hub, "bucket").where((F.col("comp") != F.col("hub_comp")) & _possible(cfg, "n", "s", "hn", "hs")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        more = _links(pairs, texts, planes, cfg)
         if not more.isEmpty():
-            comp = staged(_merged(comp, more), "components")
-        active = staged(live.join(each.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id"), "buckets")
+            before, comp = comp, staged(_merged(comp, more), "components")
+            drop_staged(before)
+        drop_staged(more)
+        active, done = live.select("bucket", "id", "n", "s"), hub.select("bucket", F.col("hub").alias("id"))
+        active._staged_at = live._staged_at
         hubs_each *= 16
+    drop_staged(live, reps, links)
     named = classes.join(comp, classes.rep == comp.id, "left").select("c1", "c2", F.coalesce("comp", "rep").alias("comp"))
     found = sigs.join(named, ["c1", "c2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("id"))
@@ -212,7 +257,7 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, cfg: Config = Config(k=5, percent=80)) -> DataFrame:
     """The documents without those that are near copies of a smaller doc_id's component; all columns stay.
 
-    Rows that repeat a kept doc_id all stay, as do rows with a null doc_id.
+    Null and empty texts, rows with a null doc_id and rows that repeat a kept doc_id all stay; columns of any name
+    do; an empty table gives an empty one.
     """
-    gone = near_duplicates(docs, cfg).where("NOT kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs.doc_id.cast("long") == F.col("_id"), "left_anti")
+    return without(docs, near_duplicates(docs, cfg).where("NOT kept").select("doc_id"))
