@@ -22,7 +22,9 @@ class Config:
     At similarity 0.85, a pair shares none of 36 buckets of 7 minima with probability (1 - 0.85**7)**36 = 9e-7,
     at 0.8 (1 - 0.8**7)**36 = 2e-4; a pair at 0.5 meets with 0.25. slack: how far below the limit an estimate may
     fall before a pair is dropped unconfirmed; 0.15 is over six standard deviations of 256 minima. hot: members of
-    a bucket from which shingles that no other member of such buckets has are counted. hubs: see near_duplicates.
+    a bucket from which shingles that no other member of such buckets has are counted. block_shingles, block_docs:
+    sets that one task compares with one another at most; few_blocks: from how many such blocks a cluster is dealt
+    bucket by bucket. broadcast_ids: up to so many ids (16 bytes each) are broadcast to pick texts.
     """
 
     k: int = 3
@@ -32,7 +34,10 @@ class Config:
     bits: int = 4
     slack: float = 0.15
     hot: int = 16
-    hubs: int = 16
+    block_shingles: int = 2 << 20
+    block_docs: int = 8192
+    few_blocks: int = 8
+    broadcast_ids: int = 2 << 20
 
     @property
     def minima(self) -> int:
@@ -139,7 +144,12 @@ def shingle_set(text: Column, k: int) -> Column:
 
 
 def _sets(texts: DataFrame, ids: DataFrame, cfg: Config) -> DataFrame:
-    return staged(texts.join(ids, "id", "left_semi").select("id", shingle_set(F.col("text"), cfg.k).alias("s")), "sets")
+    """id and shingle set of the texts of these ids; the ids are broadcast if they are few, else texts are shuffled."""
+    ids = staged(ids, "ids")
+    few = F.broadcast(ids) if ids.count() <= cfg.broadcast_ids else ids
+    sets = staged(texts.join(few, "id", "left_semi").select("id", shingle_set(F.col("text"), cfg.k).alias("s")), "sets")
+    drop_staged(ids)
+    return sets
 
 
 def _possible(cfg: Config, n1: str, s1: str, n2: str, s2: str) -> Column:
@@ -148,20 +158,107 @@ def _possible(cfg: Config, n1: str, s1: str, n2: str, s2: str) -> Column:
     return 100 * most >= cfg.percent * (F.col(n1) + F.col(n2) - most)
 
 
-def _links(pairs: DataFrame, texts: DataFrame, planes: DataFrame, cfg: Config) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, planes: DataFrame, cfg: Config) -> DataFrame:
     """Those of pairs (a < b) whose full sets have the similarity."""
     pa_, pb = (planes.select(F.col("id").alias(x), F.col("planes").alias(f"p{x}")) for x in "ab")
-    likely = staged(pairs.join(pa_, "a").join(pb, "b").where(estimate(F.col("pa"), F.col("pb"), cfg) >= cfg.percent / 100 - cfg.slack).select("a", "b"), "likely")
-    sets = _sets(texts, likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct(), cfg)
+    likely = pairs.join(pa_, "a").join(pb, "b").where(estimate(F.col("pa"), F.col("pb"), cfg) >= cfg.percent / 100 - cfg.slack).select("a", "b")
     sa, sb = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     sure = likely.join(sb, "b").join(sa, "a").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
-    links = staged(sure.where(100 * F.col("both") >= cfg.percent * (F.col("total") - F.col("both"))).select("a", "b"), "links")
-    drop_staged(likely, sets)
+    return staged(sure.where(100 * F.col("both") >= cfg.percent * (F.col("total") - F.col("both"))).select("a", "b"), "links")
+
+
+class Group:
+    """Sets that share buckets, and links enough to connect all of them that are linked.
+
+    A shingle that one set alone has is in no intersection: sets that can't be linked for that are left out, until
+    none is left to leave out. Other pairs of different components are compared by their bit planes, and those
+    that may have the similarity by their elements.
+    """
+
+    def __init__(self, ids: np.ndarray, comps: np.ndarray, side: np.ndarray, planes: np.ndarray, values: np.ndarray, offsets: np.ndarray, cfg: Config):
+        self.cfg, self.planes = cfg, planes
+        self.ids, self.n = ids, np.diff(offsets)
+        _, self.token = np.unique(values, return_inverse=True)
+        self.offsets, self.side = offsets, side
+        _, self.label = np.unique(comps, return_inverse=True)
+        of = np.repeat(np.arange(len(ids)), self.n)
+        live = self.n > 0
+        while True:
+            used = live[of]
+            shared = np.bincount(self.token[used], minlength=1)
+            s = np.bincount(of[used], weights=shared[self.token[used]] > 1, minlength=len(ids)).astype(np.int64)
+            now = live & (100 * s >= cfg.percent * self.n)
+            if (now == live).all():
+                break
+            live = now
+        self.live, self.s = np.flatnonzero(live), s
+
+    def links(self) -> list[tuple[int, int]]:
+        cfg, out, live = self.cfg, [], self.live
+        blocks, chance = cfg.minima // 64, 2.0**-cfg.bits
+        p = self.planes[live].reshape(len(live), cfg.bits, blocks)
+        n, s, label, side = self.n[live], self.s[live], self.label[live], self.side[live]
+        mixed = side.min() != side.max() if len(live) else False
+        mark = np.zeros(int(self.token.max(initial=0)) + 1, bool)
+        for i in range(len(live) - 1):
+            js = np.arange(i + 1, len(live))
+            most = np.minimum(s[i], s[js])
+            js = js[(label[js] != label[i]) & (100 * most >= cfg.percent * (n[i] + n[js] - most)) & (not mixed or side[js] != side[i])]
+            if not len(js):
+                continue
+            differ = np.bitwise_count(np.bitwise_or.reduce(p[js] ^ p[i], axis=1)).sum(axis=1, dtype=np.int64)
+            js = js[(1 - differ / cfg.minima - chance) / (1 - chance) >= cfg.percent / 100 - cfg.slack]
+            if not len(js):
+                continue
+            own = self.token[self.offsets[live[i]] : self.offsets[live[i] + 1]]
+            mark[own] = True
+            first, size = self.offsets[live[js]], n[js]
+            ends = np.cumsum(size)
+            at = np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]))
+            both = np.add.reduceat(mark[self.token[at]].astype(np.int64), ends - size)
+            mark[own] = False
+            for j in js[100 * both >= cfg.percent * (n[i] + size - both)].tolist():
+                if label[j] != label[i]:
+                    out.append((int(self.ids[live[i]]), int(self.ids[live[j]])))
+                    label[label == label[j]] = label[i]
+        return out
+
+
+def _group_links(live: DataFrame, sets: DataFrame, planes: DataFrame, cfg: Config) -> DataFrame:
+    """Links between the components of live (bucket, id, comp, n) whose members share a bucket.
+
+    Members go to tasks by cluster, the connected members of live buckets; what a cluster holds is dealt into
+    blocks of bounded size, and a task compares two blocks. A cluster of many blocks is dealt by bucket instead.
+    """
+    hub = live.groupBy("bucket").agg(F.min("id").alias("a"))
+    label = staged(components(live.join(hub, "bucket").select("a", F.col("id").alias("b"))), "clusters")
+    member = live.select("id", "comp", "n").dropDuplicates(["id"]).join(label.withColumnRenamed("comp", "cluster"), "id")
+    blocks = lambda df, key: df.groupBy(key).agg(F.greatest(F.ceil(F.sum("n") / cfg.block_shingles), F.ceil(F.count("*") / cfg.block_docs)).alias("blocks"))
+    sizes = staged(blocks(member, "cluster"), "sizes")
+    small = member.join(sizes.where(F.col("blocks") <= cfg.few_blocks), "cluster").select(F.lit(0).alias("kind"), F.col("cluster").alias("group"), "id", "comp", "blocks")
+    wide = live.join(label.withColumnRenamed("comp", "cluster"), "id").join(sizes.where(F.col("blocks") > cfg.few_blocks), "cluster").select("bucket", "id", "comp", "n")
+    by_bucket = wide.join(blocks(wide, "bucket"), "bucket").select(F.lit(1).alias("kind"), F.col("bucket").alias("group"), "id", "comp", "blocks")
+    dealt = small.unionByName(by_bucket).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other")
+    tasks = dealt.select("kind", "group", "id", "comp", "own", other).select("kind", "group", "id", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        s = group.column("s").combine_chunks()
+        s = s.chunk(0) if isinstance(s, pa.ChunkedArray) else s
+        planes = np.array(group.column("planes").to_pylist(), np.int64).view(np.uint64)
+        found = Group(*(group.column(c).to_numpy() for c in ("id", "comp", "own")), planes, s.flatten().to_numpy(), np.concatenate([[0], np.cumsum(s.value_lengths().to_numpy())]), cfg).links()
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": ends.min(axis=1) if len(ends) else ends[:, 0], "b": ends.max(axis=1) if len(ends) else ends[:, 1]})
+
+    full = tasks.join(planes, "id").join(sets, "id")
+    links = staged(full.groupBy("kind", "group", "i", "j").applyInArrow(run, "a long, b long"), "links")
+    drop_staged(label, sizes)
     return links
 
 
-def _thinned(members: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
+def _thinned(members: DataFrame, sets: DataFrame, cfg: Config) -> DataFrame:
     """members (bucket, id, n, size) with s, the shingles that can be shared; those that can't be linked in a hot bucket go.
 
     In buckets of over ``hot`` members, a shingle that one member of all these buckets has is in no intersection.
@@ -169,12 +266,11 @@ def _thinned(members: DataFrame, texts: DataFrame, cfg: Config) -> DataFrame:
     one row for each shingle of the members; the sets of ids that repeat with other texts count as wholly shared.
     """
     crowd = members.where(F.col("size") > cfg.hot).select("id").distinct()
-    sets = _sets(texts, crowd, cfg)
+    sets = sets.join(crowd, "id", "left_semi")
     each = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id"))
     own = each.where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
     once = sets.groupBy("id").agg(F.count("*").alias("c")).where("c = 1").select("id")
     own = staged(own.join(once, "id", "left_semi"), "own")
-    drop_staged(sets)
     joined = members.join(own, "id", "left").withColumn("s", F.when(F.col("size") > cfg.hot, F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("n")))
     return joined.where(100 * F.col("s") >= cfg.percent * F.col("n")).select("bucket", "id", "n", "s")
 
@@ -196,13 +292,12 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
 
     Documents with equal word sequences form a class, and the smallest doc_id stands for it. Candidates are
     pairs of class representatives in a bucket whose set sizes, less the shingles that none but one of them has
-    in large buckets, allow the similarity (_thinned; the bound is exact). A bucket doesn't emit all its pairs:
-    in the first round each member is paired with the member that has the fewest shingles of its own. In later
-    rounds, a bucket whose members are all in one component is done; in the others, up to ``hubs`` members of the
-    smallest components (16 times as many each round) are paired with the members outside their component, then
-    leave the bucket. So each pair that shares a bucket is ruled out by its sizes, tested or connected in the end,
-    and a large group of copies is done after a round or two. Members of a bucket that pass the bounds, aren't
-    similar and don't get connected are all compared in the end; they are as many pairs as the estimates demand.
+    in large buckets, allow the similarity (_thinned; the bound is exact). A bucket doesn't emit its pairs: each
+    member is paired with the member that has the fewest shingles of its own, which connects groups of copies.
+    Buckets whose members are then in several components are compared inside tasks of bounded size (_group_links),
+    which emit no more links than connect what is linked. So each pair that shares a bucket is ruled out, tested or
+    connected in the end, and rows stay in proportion to members; only comparisons of bit planes inside a task grow
+    with the square of a group whose members are alike but not linked.
 
     Links are confirmed on the full sets. Null and empty texts have no shingles, are linked with nothing and
     kept. A null doc_id is linked with nothing either and has a null component; it is kept. Rows that repeat
@@ -218,36 +313,22 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     shared = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = staged(entries.join(shared, "bucket"), "members")
     planes = reps.select("id", "planes")
-    active = staged(_thinned(members, texts, cfg), "buckets")
+    sets = _sets(texts, members.select("id").distinct(), cfg)
+    active = staged(_thinned(members, sets, cfg), "buckets")
     drop_staged(members)
     hub = active.groupBy("bucket").agg(F.min(F.struct(F.col("n") - F.col("s"), "id", "n", "s")).alias("h")).select("bucket", F.col("h.id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.s").alias("hs"))
-    hub = staged(hub, "hubs")
-    met = active.join(hub, "bucket").where((F.col("id") != F.col("hub")) & _possible(cfg, "n", "s", "hn", "hs"))
-    links = _links(met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), texts, planes, cfg)
+    met = active.join(staged(hub, "hubs"), "bucket").where((F.col("id") != F.col("hub")) & _possible(cfg, "n", "s", "hn", "hs"))
+    links = _links(met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), sets, planes, cfg)
     comp = staged(components(links), "components")
-    done, hubs_each = hub.select("bucket", F.col("hub").alias("id")), cfg.hubs
-    while True:
-        left = active.join(done, ["bucket", "id"], "left_anti")
-        labelled = left.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        counts = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("in_comp"))
-        mixed = counts.groupBy("bucket").agg(F.count("*").alias("comps")).where("comps > 1").select("bucket")
-        live = staged(labelled.join(mixed, "bucket", "left_semi").join(counts, ["bucket", "comp"]), "live")
-        drop_staged(active, hub)
-        if live.isEmpty():
-            break
-        slot = F.pmod(F.xxhash64("id", "bucket"), F.lit(hubs_each))
-        hub = live.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("in_comp", "id", "comp", "n", "s")).alias("h"))
-        hub = staged(hub.select("bucket", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n").alias("hn"), F.col("h.s").alias("hs")), "hubs")
-        pairs = live.join(hub, "bucket").where((F.col("comp") != F.col("hub_comp")) & _possible(cfg, "n", "s", "hn", "hs")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        more = _links(pairs, texts, planes, cfg)
+    # buckets of members of several components, but for those of two, which have been compared
+    labelled = active.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2").select("bucket")
+    live = staged(labelled.join(mixed, "bucket", "left_semi").select("bucket", "id", "comp", "n"), "live")
+    if not live.isEmpty():
+        more = _group_links(live, sets, planes, cfg)
         if not more.isEmpty():
-            before, comp = comp, staged(_merged(comp, more), "components")
-            drop_staged(before)
-        drop_staged(more)
-        active, done = live.select("bucket", "id", "n", "s"), hub.select("bucket", F.col("hub").alias("id"))
-        active._staged_at = live._staged_at
-        hubs_each *= 16
-    drop_staged(live, reps, links)
+            comp = staged(_merged(comp, more), "components")
+    drop_staged(live, active, sets, links, reps)
     named = classes.join(comp, classes.rep == comp.id, "left").select("c1", "c2", F.coalesce("comp", "rep").alias("comp"))
     found = sigs.join(named, ["c1", "c2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("id"))
