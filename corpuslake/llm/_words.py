@@ -138,3 +138,18 @@ def roll(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.
         out = out * U64(0xD1342543DE82EF95) + hashes[at + i]
         out ^= out >> U64(29)
     return mix(out), offsets
+
+
+def poly_runs(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As roll(), by prefix sums of a polynomial, so that the cost doesn't depend on k."""
+    counts = np.maximum(np.diff(first) - (k - 1), 0)
+    offsets = np.zeros(len(first), np.int64)
+    np.cumsum(counts, out=offsets[1:])
+    total = int(offsets[-1])
+    if not total:
+        return np.zeros(0, U64), offsets
+    up, down = _power_table(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    at = np.arange(total) + np.repeat(first[:-1] - offsets[:-1], counts)
+    return mix((sums[at + k] - sums[at]) * down[at] + U64(k)), offsets

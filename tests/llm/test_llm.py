@@ -143,7 +143,7 @@ def near(rows, k, percent):
     return sets, comp
 
 
-@pytest.mark.parametrize("cfg", [minhash.Config(), minhash.Config(k=5, percent=80), minhash.Config(hubs=1)])
+@pytest.mark.parametrize("cfg", [minhash.Config(), minhash.Config(k=5, percent=80), minhash.Config(hot=2, block_docs=3, few_blocks=1, broadcast_ids=0)])
 def test_near_duplicates(docs, rows, cfg):
     sets, comp = near(rows, cfg.k, cfg.percent)
     got = minhash.near_duplicates(docs, cfg).collect()
@@ -423,3 +423,93 @@ def test_two_passages_of_one_source():
     for x0, x1, *_ in found:
         words |= set(range(x0, x1))
     assert words >= {*range(45), *range(105, 185)}
+
+
+@pytest.mark.parametrize("letters", [(2, 7), (30, 34), (60, 64), (200, 204)])
+def test_passages_of_long_words(spark, letters):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(*letters)))
+    rows, whole = [], {}
+    for i in range(30):
+        p = [word() for _ in range(60)]
+        q = list(p)
+        for at in rng.sample(range(8, 52), 2):
+            q[at] = word()
+        for d, body in ((i, p), (1000 + i, q)):
+            head = " ".join(word() for _ in range(30))
+            rows.append((d, f"{head} {' '.join(body)} {' '.join(word() for _ in range(30))}"))
+            whole[d] = (len(head) + 1, len(head) + 1 + len(" ".join(body)))
+    got = {(r.doc_id, r.source_id): (r.start_byte, r.end_byte) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(1000 + i, i) for i in range(30)} and all(got[d, s] == whole[d] for d, s in got)
+
+
+def test_passage_tiled_by_earlier_documents(spark):
+    rng = random.Random(43)
+    rows, whole = [], {}
+    for i in range(20):
+        p = text_of(rng, 100).split()
+        for j, (a, b) in enumerate([*((k, k + 24) for k in range(0, 100, 20)), (0, 100), (0, 100)]):
+            head = text_of(rng, 50)
+            rows.append((100 * i + j, f"{head} {' '.join(p[a:b])} {text_of(rng, 50)}"))
+            whole[100 * i + j] = (len(head) + 1, len(head) + 1 + len(" ".join(p[a:b])))
+    got = {(r.doc_id, r.source_id): (r.start_byte, r.end_byte) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(100 * i + 6, 100 * i + 5) for i in range(20)} and all(got[d, s] == whole[d] for d, s in got)
+
+
+def test_exact_passages_equal_brute_force(spark):
+    """Every word of an equal run of 50 words with any earlier document is in a span but for 10 words at the run's ends; spans hold."""
+    rng = random.Random(47)
+    pool = [text_of(rng, rng.randint(20, 160)).split() for _ in range(25)]
+    docs = []
+    for d in range(90):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(pool)
+            a = rng.randint(0, len(p) - 1)
+            words += p[a : rng.randint(a + 1, len(p))] if rng.random() < 0.6 else p
+            words += text_of(rng, rng.randint(0, 15)).split()
+        docs.append(words)
+    spans = defaultdict(list)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    for r in substring_dedup.repeated_passages(df, substring_dedup.Config(batch_bytes=6000, bucket_bytes=9000)).collect():
+        text = " ".join(docs[r.doc_id])
+        assert zlib.crc32(text[r.start_byte : r.end_byte].encode()) == r.crc32 and r.source_id < r.doc_id
+        own = text[r.start_byte : r.end_byte].split()
+        src = docs[r.source_id]
+        assert len(own) == r.n_words >= 40 and min(edits(own, src[i : i + len(own) + m]) for m in (0, r.edits, -r.edits) for i in range(len(src))) <= 2 * r.edits
+        first = len(text[: r.start_byte].split())
+        spans[r.doc_id] += range(first, first + len(own))
+    k = 50
+    for d, words in enumerate(docs):
+        for s in range(d):
+            held = {tuple(docs[s][i : i + k]) for i in range(len(docs[s]) - k + 1)}
+            hits = [i for i in range(len(words) - k + 1) if tuple(words[i : i + k]) in held]
+            for i in hits:
+                assert set(range(i + 10, i + k - 10)) <= set(spans[d]), (d, s, i)
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    rng = random.Random(53)
+    p = text_of(rng, 70)
+    other = text_of(rng, 90)
+    rows = [(1, f"{other} {p}", "a", 1), (2, f"{p} {text_of(rng, 40)}", "b", 2), (2, text_of(rng, 120), "c", 3), (3, None, "d", 4), (None, p, "e", 5), (4, f"{other} {p}", "f", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _spans long").withColumn("at", F.lit(0)).withColumn("Spans", F.lit(1)).withColumn("gone", F.lit(2))
+    bench = spark.createDataFrame([(1, " ".join(other.split()[:30]))], "item_id long, text string")
+    cut = substring_dedup.drop_repeated_passages(docs)
+    left = {r._id: r.text for r in cut.collect()}
+    assert cut.columns == docs.columns and set(left) == set("abcde") and left["b"].split() == rows[1][1].split()[70:] and left["c"] == rows[2][1] and left["a"] == rows[0][1]
+    near = minhash.drop_near_duplicates(docs)
+    assert near.columns == docs.columns and {r._id for r in near.collect()} == set("abcde")
+    clean = decontaminate.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns and {r._id for r in clean.collect()} == set("bcde")
+
+
+def test_near_copies_of_a_large_group(spark):
+    """A group of copies with many edits of their own: buckets are large, and what can't be linked is thinned out first."""
+    rng = random.Random(59)
+    base = text_of(rng, 120).split()
+    rows = [(i, " ".join(edited(rng, base, rng.choice((0, 1, 2, 3, 4, 6, 9, 14)))), "g", 0) for i in range(120)]
+    cfg = minhash.Config(hot=4, block_docs=40)
+    _, comp = near(rows, cfg.k, cfg.percent)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string, n long"), cfg).collect()
+    assert {r.doc_id: r.component_id for r in got} == comp
