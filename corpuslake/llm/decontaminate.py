@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from corpuslake.llm._base import ship
+from corpuslake.llm._base import ship, without
 from corpuslake.llm._words import U64, Words, mix, pieces, roll
 
 _EDGE = np.zeros(256, bool)
@@ -30,8 +30,8 @@ class Config:
     """similarity: least share of an item's words that survives editing. walks * keys buckets of `sample`
     positions each; a window and an item that share `votes` buckets are compared. The keys of a walk that has
     lost step fail together, so buckets alone lose cases at the limit, most of all deletions in long items; windows
-    that pass the bound of word triples are compared without them. min_words: shorter items are no evidence and are
-    skipped.
+    that pass the bound of word triples are compared without them. min_words: shorter items are found where all
+    their words occur in order, unchanged, whatever their length.
     block_bytes: items are sent to the workers in blocks of this size, so what is broadcast is bounded.
     """
 
@@ -77,6 +77,13 @@ class Items:
         size = np.diff(w.first)
         use = np.flatnonzero(size >= cfg.min_words)
         self.ids = [rows[i]["item_id"] for i in use]
+        # short items: by length, the ids and the sorted hashes of the whole sequence
+        self.short: dict[int, tuple[np.ndarray, list[int]]] = {}
+        for m in np.unique(size[(size > 0) & (size < cfg.min_words)]).tolist():
+            own = np.flatnonzero(size == m)
+            h = np.array([roll(w.hashes[w.first[i] : w.first[i + 1]], np.array([0, m]), m)[0][0] for i in own], U64)
+            order = np.argsort(h, kind="stable")
+            self.short[m] = (h[order], [rows[i]["item_id"] for i in own[order]])
         self.words = [w.hashes[w.first[i] : w.first[i + 1]] for i in use]
         self.size = size[use]
         self.lengths = np.unique(self.size)
@@ -180,6 +187,23 @@ def distances(item: np.ndarray, flat: np.ndarray, starts: np.ndarray, stops: np.
     return row[np.arange(len(row)), length], length
 
 
+def search_short(w: Words, items: Items) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item id, words, first word, windows) of the first window equal to each short item in each text."""
+    for m, (table, ids) in items.short.items():
+        h, offsets = roll(w.hashes, w.first, m)
+        at = np.flatnonzero(np.isin(h, table))
+        if not len(at):
+            continue
+        text = np.searchsorted(offsets, at, "right") - 1
+        lo, hi = np.searchsorted(table, h[at], "left"), np.searchsorted(table, h[at], "right")
+        found: dict[tuple[int, int], list[int]] = {}
+        for p, t, a, z in zip(at.tolist(), text.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            for i in range(a, z):
+                found.setdefault((t, i), [int(w.first[t] + p - offsets[t]), 0])[1] += 1
+        for (t, i), (first, n) in found.items():
+            yield t, ids[i], m, first, n
+
+
 def search(w: Words, items: Items) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(text, item, distance, first word, stop word, windows) of the best window of each item in each text."""
     cfg = items.cfg
@@ -239,7 +263,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config())
 
     distance: words inserted, deleted or replaced; start_byte, end_byte: the best window in the text's UTF-8
     bytes (least distance, then first); first_word: its place among the words; n_windows: windows within the
-    limit. Null and empty texts hold nothing, items of fewer than ``min_words`` words are skipped, repeated
+    limit. Null and empty texts hold nothing, items without a word are skipped, repeated
     documents and items are each reported, other columns are ignored, empty tables give no rows. No shuffle:
     documents stream past blocks of items of a fixed size.
     """
@@ -260,6 +284,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config())
                     w = trimmed_words(part.column("text"))
                     ids = part.column("doc_id")
                     found = [(ids[t].as_py(), items.ids[i], d, int(items.size[i]), int(w.starts[a] - w.breaks[t]), int((w.ends[z - 1] if z > a else w.starts[a]) - w.breaks[t]), int(a - w.first[t]), k) for t, i, d, a, z, k in search(w, items)]
+                    found += [(ids[t].as_py(), item, 0, m, int(w.starts[a] - w.breaks[t]), int(w.ends[a + m - 1] - w.breaks[t]), int(a - w.first[t]), k) for t, item, m, a, k in search_short(w, items)]
                     if found:
                         columns = list(zip(*found, strict=True))
                         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
@@ -271,6 +296,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config())
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """The documents that hold no benchmark item; all columns and rows with a null doc_id stay."""
-    bad = contaminated(docs.where("doc_id IS NOT NULL"), benchmark, cfg).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs.doc_id.cast("long") == F.col("_id"), "left_anti")
+    """The documents that hold no benchmark item; columns of any name stay.
+
+    Null and empty texts and rows with a null doc_id stay; of rows that repeat a doc_id all go if one holds an item; an
+    empty table gives an empty one, and an empty benchmark drops nothing.
+    """
+    return without(docs, contaminated(docs.where("doc_id IS NOT NULL"), benchmark, cfg).select("doc_id").distinct())

@@ -28,6 +28,7 @@ OUTER = frozenset("nav footer aside form menu dialog header".split())
 MAIN = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id or role that name a page's furniture.
+NAMED_HEADER = frozenset(["header", "masthead"])
 FURNITURE = frozenset(
     """ad ads adbox adslot advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies
     dialog disclaimer disqus discussion feedback footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager
@@ -51,12 +52,14 @@ class Block:
     heading: bool
 
 
-def _furniture(attrs: str) -> bool:
+def _furniture(attrs: str, main: bool = False) -> bool:
+    """Whether an element is hidden or has a name of furniture; an article's own header is none."""
     if not attrs:
         return False
     if HIDDEN.search(attrs):
         return True
-    return any(not FURNITURE.isdisjoint(NAME.findall((a or b or c).lower())) for a, b, c in MARKS.findall(attrs))
+    names = {n for a, b, c in MARKS.findall(attrs) for n in NAME.findall((a or b or c).lower())}
+    return not FURNITURE.isdisjoint(names - NAMED_HEADER if main else names)
 
 
 def blocks(page: str) -> list[Block]:
@@ -119,7 +122,7 @@ def blocks(page: str) -> list[Block]:
         flush()
         heading = tag in HEADING and not closing
         if tag in ("p", "li", "dt", "dd", "td", "th", "tr", *HEADING):
-            own_bad = not closing and _furniture(attrs)
+            own_bad = not closing and _furniture(attrs, bool(stack) and stack[-1][2])
             continue
         own_bad = False
         if tag in VOID:
@@ -131,7 +134,7 @@ def blocks(page: str) -> list[Block]:
                     break
         else:
             bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            bad = bad or (tag in OUTER and not (tag == "header" and main)) or (tag not in ("html", "body") and _furniture(attrs))
+            bad = bad or (tag in OUTER and not (tag == "header" and main)) or (tag not in ("html", "body") and _furniture(attrs, main))
             stack.append((tag, bad, main or tag in MAIN))
     flush()
     return out
@@ -139,19 +142,36 @@ def blocks(page: str) -> list[Block]:
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "furniture", "in_main", "page_has_main", "heading")
 
-#: Labelled blocks whose place decides, whatever stands beside them: words, link density, furniture, in_main,
-#: page_has_main, heading, then 1 for main text.
-PLACED = (
-    (1, 0.0, 0, 1, 1, 0, 1), (3, 0.0, 0, 1, 1, 1, 1), (8, 0.0, 0, 1, 1, 1, 1), (6, 1.0, 0, 1, 1, 0, 1), (12, 0.4, 0, 1, 1, 0, 1), (30, 0.1, 0, 1, 1, 0, 1), (90, 0.0, 0, 1, 1, 0, 1), (300, 0.0, 0, 1, 1, 0, 1),
-    (1, 0.0, 1, 1, 1, 0, 0), (2, 1.0, 1, 1, 1, 0, 0), (3, 0.0, 1, 1, 1, 1, 0), (12, 0.0, 1, 1, 1, 0, 0), (25, 0.1, 1, 1, 1, 0, 0), (60, 0.0, 1, 1, 1, 0, 0), (200, 0.0, 1, 1, 1, 0, 0),
-    (1, 1.0, 0, 0, 1, 0, 0), (5, 1.0, 0, 0, 1, 0, 0), (2, 0.0, 0, 0, 1, 1, 0), (10, 0.0, 0, 0, 1, 0, 0), (22, 0.0, 0, 0, 1, 0, 0), (35, 0.1, 0, 0, 1, 0, 0), (70, 0.0, 0, 0, 1, 0, 0), (250, 0.0, 0, 0, 1, 0, 0),
-    (1, 1.0, 1, 0, 1, 0, 0), (8, 0.0, 1, 0, 1, 0, 0), (2, 0.0, 1, 0, 1, 1, 0), (15, 0.0, 1, 0, 1, 0, 0), (40, 0.0, 1, 0, 1, 0, 0), (150, 0.0, 1, 0, 1, 0, 0),
-    (1, 1.0, 1, 0, 0, 0, 0), (3, 0.0, 1, 0, 0, 1, 0), (8, 0.0, 1, 0, 0, 0, 0), (30, 0.0, 1, 0, 0, 0, 0), (55, 0.1, 1, 0, 0, 0, 0), (150, 0.0, 1, 0, 0, 0, 0),
+#: Labelled pages: for each block in order its words, link density, whether its tags or names are of furniture, whether
+#: it stands in an article or main element, whether it is a heading, then 1 for main text.
+PAGES = (
+    # menu, advert, article, footer
+    ((1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 0, 0, 0), (10, 0.0, 1, 0, 0, 0), (8, 0.0, 0, 1, 1, 1), (31, 0.0, 0, 1, 0, 1), (12, 0.0, 0, 1, 0, 1), (107, 0.0, 0, 1, 0, 1), (4, 0.0, 0, 1, 0, 1), (60, 0.1, 0, 1, 0, 1), (11, 0.0, 1, 0, 0, 0)),
+    # a short article
+    ((1, 1.0, 1, 0, 0, 0), (1, 1.0, 1, 0, 0, 0), (16, 0.0, 1, 0, 0, 0), (2, 0.0, 0, 1, 1, 1), (1, 0.0, 0, 1, 0, 1), (4, 0.0, 1, 0, 0, 0)),
+    ((3, 1.0, 1, 0, 0, 0), (6, 0.0, 0, 1, 0, 1), (14, 0.2, 1, 0, 0, 0)),
+    ((12, 0.0, 1, 0, 0, 0), (1, 0.0, 0, 1, 1, 1), (250, 0.0, 0, 1, 0, 1), (2, 0.0, 0, 1, 0, 1), (3, 0.0, 0, 1, 0, 1), (8, 0.0, 1, 0, 0, 0)),
+    ((5, 0.0, 0, 1, 0, 1),),
+    # links inside running text stay, lists of links at the end of an article don't
+    ((9, 0.0, 0, 1, 1, 1), (50, 0.0, 0, 1, 0, 1), (6, 1.0, 0, 1, 0, 1), (40, 0.3, 0, 1, 0, 1), (90, 0.1, 0, 1, 0, 1), (8, 0.5, 0, 1, 0, 1), (70, 0.0, 0, 1, 0, 1)),
+    ((4, 0.0, 0, 1, 1, 1), (80, 0.0, 0, 1, 0, 1), (45, 0.1, 0, 1, 0, 1), (4, 1.0, 0, 1, 0, 0), (5, 1.0, 0, 1, 0, 0), (3, 1.0, 0, 1, 0, 0), (6, 0.9, 0, 1, 0, 0), (10, 0.0, 1, 0, 0, 0)),
+    ((1, 1.0, 0, 1, 0, 0), (2, 1.0, 0, 1, 0, 0), (1, 1.0, 0, 1, 0, 0), (7, 0.0, 0, 1, 1, 1), (35, 0.0, 0, 1, 0, 1), (64, 0.0, 0, 1, 0, 1), (12, 0.9, 0, 1, 0, 0), (9, 1.0, 0, 1, 0, 0), (14, 0.8, 0, 1, 0, 0)),
+    # reader comments, notices and sidebars, long ones too
+    ((5, 0.0, 0, 1, 1, 1), (70, 0.0, 0, 1, 0, 1), (90, 0.0, 0, 1, 0, 1), (1, 0.0, 1, 1, 1, 0), (60, 0.0, 1, 1, 0, 0), (25, 0.1, 1, 1, 0, 0), (90, 0.0, 1, 1, 0, 0), (200, 0.0, 1, 1, 0, 0), (3, 1.0, 1, 1, 0, 0)),
+    ((30, 0.0, 1, 1, 0, 0), (44, 0.0, 0, 1, 0, 1), (60, 0.0, 1, 1, 0, 0), (52, 0.0, 0, 1, 0, 1), (2, 1.0, 1, 1, 0, 0), (75, 0.0, 0, 1, 0, 1)),
+    ((2, 0.0, 1, 0, 1, 0), (60, 0.0, 1, 0, 0, 0), (80, 0.0, 1, 0, 0, 0), (200, 0.0, 1, 0, 0, 0), (7, 0.0, 0, 1, 1, 1), (20, 0.0, 0, 1, 0, 1), (150, 0.1, 1, 0, 0, 0)),
+    # text outside the marked article: short pieces aren't main text, a run of long ones is
+    ((10, 0.0, 0, 0, 0, 0), (8, 0.0, 0, 1, 1, 1), (22, 0.0, 0, 1, 0, 1), (35, 0.0, 0, 1, 0, 1), (22, 0.0, 0, 0, 0, 0), (5, 1.0, 0, 0, 0, 0), (14, 0.0, 0, 0, 0, 0)),
+    ((3, 0.0, 0, 0, 1, 0), (30, 0.0, 0, 0, 0, 0), (6, 0.0, 0, 1, 1, 1), (64, 0.0, 0, 1, 0, 1), (110, 0.0, 0, 1, 0, 1), (34, 0.0, 0, 0, 0, 0), (12, 0.0, 0, 0, 0, 0)),
+    ((40, 0.0, 0, 0, 0, 0), (4, 0.0, 0, 1, 1, 1), (90, 0.0, 0, 1, 0, 1), (45, 0.0, 0, 1, 0, 1), (25, 0.0, 0, 0, 0, 0), (20, 0.0, 0, 0, 0, 0), (28, 0.0, 0, 0, 0, 0)),
+    ((20, 0.0, 0, 0, 0, 0), (25, 0.0, 0, 0, 0, 0), (12, 0.0, 0, 1, 1, 1), (33, 0.0, 0, 1, 0, 1), (48, 0.0, 0, 0, 0, 0)),
+    ((7, 0.0, 0, 1, 1, 1), (200, 0.0, 0, 1, 0, 1), (70, 0.0, 0, 0, 0, 0), (3, 1.0, 0, 0, 0, 0), (18, 0.0, 0, 0, 0, 0), (52, 0.1, 0, 0, 0, 0)),
+    ((2, 1.0, 1, 0, 0, 0), (6, 0.0, 0, 1, 1, 1), (18, 0.0, 0, 1, 0, 1), (80, 0.0, 0, 0, 0, 1), (120, 0.0, 0, 0, 0, 1), (95, 0.1, 0, 0, 0, 1), (64, 0.0, 0, 0, 0, 1), (9, 0.0, 1, 0, 0, 0)),
+    ((5, 0.0, 0, 1, 0, 1), (150, 0.0, 0, 0, 0, 1), (70, 0.1, 0, 0, 0, 1), (210, 0.0, 0, 0, 0, 1), (6, 1.0, 0, 0, 0, 0), (4, 1.0, 0, 0, 0, 0)),
+    # pages that mark furniture but no article
+    ((1, 1.0, 1, 0, 0, 0), (3, 0.0, 1, 0, 1, 0), (8, 0.0, 0, 0, 1, 1), (70, 0.0, 0, 0, 0, 1), (55, 0.1, 0, 0, 0, 1), (30, 0.0, 1, 0, 0, 0), (55, 0.1, 1, 0, 0, 0), (150, 0.0, 1, 0, 0, 0)),
 )
 
-#: What may stand before and after those: words and link density, twice.
-NEIGHBOURS = ((0, 0.0, 40, 0.0), (1, 1.0, 1, 1.0), (3, 1.0, 70, 0.0), (60, 0.0, 50, 0.0), (90, 0.1, 2, 1.0), (1, 0.0, 1, 0.0), (25, 0.0, 0, 0.0))
-
 #: Labelled blocks of pages that mark no article and no furniture, where words and links decide: words, link
 #: density, those of the block before and of the block after, heading, then 1 for main text.
 UNPLACED = (
@@ -163,8 +183,15 @@ UNPLACED = (
     (300, 0.0, 1, 1.0, 2, 1.0, 0, 1), (60, 0.0, 3, 0.0, 0, 0.0, 0, 1), (45, 0.1, 1, 1.0, 30, 0.0, 0, 1), (16, 0.0, 45, 0.0, 90, 0.0, 0, 1), (4, 0.0, 3, 0.0, 80, 0.0, 1, 1), (28, 0.0, 0, 0.0, 26, 0.0, 0, 1),
 )
 
+def rows_of(page) -> list[tuple]:
+    """Feature rows of a page's blocks (words, link density, furniture, in_main, heading, ...); beyond the ends a neighbour has no words and no links."""
+    has_main = int(any(b[3] and not b[2] for b in page))
+    padded = [(0, 0.0), *(b[:2] for b in page), (0, 0.0)]
+    return [(*b[:2], *padded[i], *padded[i + 2], int(b[2]), int(b[3]), has_main, int(b[4])) for i, b in enumerate(page)]
+
+
 #: The labelled table: the features in order, then 1 for main text.
-LABELLED = tuple((w, d, *beside, bad, main, has, head, y) for w, d, bad, main, has, head, y in PLACED for beside in NEIGHBOURS) + tuple((w, d, wb, db, wa, da, 0, 0, 0, head, y) for w, d, wb, db, wa, da, head, y in UNPLACED)
+LABELLED = tuple((*row, b[5]) for page in PAGES for row, b in zip(rows_of(page), page, strict=True)) + tuple((w, d, wb, db, wa, da, 0, 0, 0, head, y) for w, d, wb, db, wa, da, head, y in UNPLACED)
 
 
 def train(rows=LABELLED, depth: int = 8) -> tuple:
@@ -193,15 +220,7 @@ def train(rows=LABELLED, depth: int = 8) -> tuple:
 
 
 def features(found: list[Block]) -> list[tuple]:
-    """The features of each block; beyond the ends a neighbour has no words and no links."""
-    density = [b.linked / b.words for b in found]
-    has_main = int(any(b.main and not b.furniture for b in found))
-    out = []
-    for i, b in enumerate(found):
-        before = (found[i - 1].words, density[i - 1]) if i else (0, 0.0)
-        after = (found[i + 1].words, density[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        out.append((b.words, density[i], *before, *after, int(b.furniture), int(b.main), has_main, int(b.heading)))
-    return out
+    return rows_of([(b.words, b.linked / b.words, b.furniture, b.main, b.heading) for b in found])
 
 
 def classify(tree, row: tuple) -> int:

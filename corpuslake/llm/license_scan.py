@@ -66,11 +66,11 @@ def winnow(hashes: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
     """Most template words matched in order inside the band about text place = template place + diagonal; first and stop word matched.
 
-    Row i holds the best chain over template[:i]; only 2 * band + 1 columns of it exist. Among equal counts the shortest span wins.
+    Row i holds the best chain over template[:i]; only 2 * band + 1 columns of it exist. Among equal counts the leftmost chain wins.
     """
     width = 2 * band + 1
     low = -(1 << 40)
-    # score = matches * 2**20 - span penalty; start: first matched word of the chain
+    # score: matches; start, stop: first and last matched word of the chain
     score = np.zeros(width, np.int64)
     start = np.full(width, -1, np.int64)
     stop = np.full(width, -1, np.int64)
@@ -125,10 +125,12 @@ class Templates:
         for (t, name), diagonals in sorted(hits.items()):
             text, template = w.hashes[w.first[t] : w.first[t + 1]], self.words[name]
             done = -1
-            for d in _clusters(sorted(diagonals), cfg.band):
+            # no wider than half the template, so that copies side by side are in different clusters
+            band = min(cfg.band, max(1, len(template) // 2))
+            for d in _clusters(sorted(diagonals), band):
                 if d + len(template) <= done:
                     continue
-                matched, a, z = align(template, text, d, cfg.band)
+                matched, a, z = align(template, text, d, band)
                 if matched >= cfg.coverage * len(template) and a >= done:
                     done = z
                     base = w.first[t]

@@ -72,13 +72,17 @@ class Pairs:
         self.spread = spread
         home = (self.contexts % U64(buckets)).astype(np.int64)
         low = mix(nxt * U64(0xD1342543DE82EF95)) & U64((1 << 40) - 1)
-        # one key that sorts by context, then successor: contexts of a batch number far less than 2**24
-        if len(self.contexts) >= 1 << 24:
-            raise ValueError("a batch has too many distinct words; lower batch_bytes")
-        key = (self.vi.astype(U64) << U64(40)) | low
-        uniq, self.pi = np.unique(key, return_inverse=True)
-        count = np.bincount(self.pi, weights=np.repeat(train, n + 1).astype(np.float64), minlength=len(uniq)).astype(np.int64)
-        v, low = (uniq >> U64(40)).astype(np.int64), uniq & U64((1 << 40) - 1)
+        if len(self.contexts) < 1 << 24:  # one key that sorts by context, then successor
+            uniq, self.pi = np.unique((self.vi.astype(U64) << U64(40)) | low, return_inverse=True)
+            v, low = (uniq >> U64(40)).astype(np.int64), uniq & U64((1 << 40) - 1)
+        else:  # a very long text can have more words; the same order by two keys
+            order = np.lexsort((low, self.vi))
+            new = np.ones(total, bool)
+            new[1:] = (self.vi[order[1:]] != self.vi[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
+            self.pi = np.empty(total, np.int64)
+            self.pi[order] = np.cumsum(new) - 1
+            v, low = self.vi[order[new]].astype(np.int64), low[order[new]]
+        count = np.bincount(self.pi, weights=np.repeat(train, n + 1).astype(np.float64), minlength=len(v)).astype(np.int64)
         bucket = (home[v] + (low % spread[v].astype(U64)).astype(np.int64)) % buckets
         order = np.argsort(bucket, kind="stable")
         back = np.empty(len(order), np.int64)
@@ -128,7 +132,7 @@ def _answer(rows: list[dict]) -> tuple[list[dict], dict[str, np.ndarray]]:
     replies, a, p = [], 0, 0
     for r, own in zip(rows, contexts, strict=True):
         m = len(r["counts"]) // 4
-        replies.append({"b": r["b"], "bucket": r["bucket"], "pairs": total[group[p : p + m]].astype(np.uint32).tobytes(), "c": c[where[a : a + len(own)]].astype(np.uint64).tobytes()})
+        replies.append({"b": r["b"], "bucket": r["bucket"], "pairs": total[group[p : p + m]].astype(np.uint64).tobytes(), "c": c[where[a : a + len(own)]].astype(np.uint64).tobytes()})
         a, p = a + len(own), p + m
     return replies, {"context": all_contexts, "c": c, "single": single, "hot": hot}
 
@@ -269,7 +273,7 @@ def lm_scores(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
         at = 0
         for bucket, own, _, low, _, _ in pairs.messages():
             r = replies[bucket]
-            counts[at : at + len(low)] = np.frombuffer(r["pairs"], np.uint32)
+            counts[at : at + len(low)] = np.frombuffer(r["pairs"], U64).astype(np.int64)
             contexts[np.searchsorted(pairs.contexts, own)] = np.frombuffer(r["c"], U64).astype(np.int64)
             at += len(low)
         for h, n in hot_counts.items():
