@@ -19,9 +19,16 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def _overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two multisets."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(count(a, g), count(b, g)))
+    """Size of the intersection of two multisets: one pass over both in sorted order, counting each side's run of equal elements."""
+    tagged = lambda xs, side: F.transform(xs, lambda x: F.struct(F.concat_ws("\x1f", x).alias("g"), F.lit(side).alias("side")))
+    start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        in_a = (x["side"] == 0).cast("int")
+        same = s["g"].eqNullSafe(x["g"])
+        return F.struct(x["g"].alias("g"), (F.when(same, s["a"]).otherwise(0) + in_a).alias("a"), (F.when(same, s["b"]).otherwise(0) + (1 - in_a)).alias("b"), (s["n"] + F.when(same, 0).otherwise(F.least(s["a"], s["b"]))).alias("n"))
+
+    return F.aggregate(F.array_sort(F.concat(tagged(a, 0), tagged(b, 1))), start, step, lambda s: s["n"] + F.least(s["a"], s["b"]))
 
 
 def gleu(prediction: Column, reference: Column, order: int = 4) -> Column:
@@ -89,6 +96,17 @@ def _chrf_grams(text: Column, chars: int, words: int) -> Column:
     return let(F.struct(body.alias("c"), edge.alias("w")), of)
 
 
+def metrics_record(df: DataFrame, model: str = "model", predictions_path: str | None = None, metrics_path: str | None = None) -> DataFrame:
+    """The whole record of a model, `model` first: evaluate(), chrF++ and TER, then the paths.
+
+    chrf and ter are null where there is nothing to score (no row, or no reference word); other failures aren't hidden.
+    """
+    c = chrf(df).select(F.round("chrf", 4).alias("chrf"))
+    t = ter(df).select(F.when(F.col("words") > 0, F.round("ter", 4)).alias("ter"))
+    out = evaluate(df, model).crossJoin(F.broadcast(c)).crossJoin(F.broadcast(t))  # one row each
+    return out.withColumn("chrf", F.when(F.col("num_samples") > 0, F.col("chrf"))).withColumn("predictions_path", F.lit(predictions_path).cast("string")).withColumn("metrics_path", F.lit(metrics_path).cast("string"))
+
+
 def chrf_counts(df: DataFrame, chars: int = 6, words: int = 2) -> DataFrame:
     """Corpus counts for each order: n, n_pred, n_ref, n_match. df: sample_id, prediction, correct_sentence.
 
@@ -182,10 +200,13 @@ def ter(df: DataFrame) -> DataFrame:
 
 
 def shift_free_edits(a: Column, b: Column) -> Column:
-    """Word edit distance, a bound of TER's edits: words become code points of the private use area, by first place in both texts."""
+    """Word edit distance, a bound of TER's edits: words become code points of the supplementary planes, by first place in both texts (of at most 2**20 different words)."""
 
     def coded(x: Column) -> Column:
-        code = lambda w: F.decode(F.unhex(F.hex(F.lit(57343) + F.array_position(x["all"], w).cast("int"))), "UTF-16BE")
+        def code(w: Column) -> Column:
+            v = F.array_position(x["all"], w) - 1
+            return F.decode(F.unhex(F.concat(F.hex(F.lit(0xD800) + F.shiftright(v, 10)), F.hex(F.lit(0xDC00) + v % 1024))), "UTF-16BE")
+
         text = lambda ws: F.array_join(F.transform(ws, code), "")
         return F.levenshtein(text(x["a"]), text(x["b"]))
 

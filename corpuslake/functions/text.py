@@ -96,7 +96,7 @@ def normalize_for_scoring(c: Column) -> Column:
 
 def without_thoughts(c: Column) -> Column:
     """Model text without think blocks and code fences."""
-    return strip(F.regexp_replace(F.regexp_replace(strip(c), "(?s)<think>.*?</think>", ""), "```(?:json)?", ""))
+    return strip(F.regexp_replace(F.regexp_replace(strip(c), "(?s)<think>.*?</think>", ""), "```(?:json|JSON)?", ""))
 
 
 def prediction(c: Column) -> Column:

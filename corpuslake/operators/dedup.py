@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def keep_first(df: DataFrame, keys: list[Column], order: list[str], flag: str | None = None) -> DataFrame:
     """The first row of each key in the given order; with flag, all rows and whether each is the first.
 
@@ -13,11 +21,12 @@ def keep_first(df: DataFrame, keys: list[Column], order: list[str], flag: str |
     so a frequent key costs a row for each input partition.
     """
     key = F.sha2(F.to_json(F.array(*[k.cast("string") for k in keys])), 256) if len(keys) > 1 else F.sha2(keys[0].cast("string"), 256)
-    w = Window.partitionBy("_key").orderBy(*order)
-    ranked = df.withColumn("_key", key).withColumn("_rank", F.row_number().over(w))
+    by, rank = fresh(df, "key"), fresh(df, "rank")
+    w = Window.partitionBy(by).orderBy(*order)
+    ranked = df.withColumn(by, key).withColumn(rank, F.row_number().over(w))
     if flag:
-        return ranked.withColumn(flag, F.col("_rank") == 1).drop("_key", "_rank")
-    return ranked.where("_rank = 1").drop("_key", "_rank")
+        return ranked.withColumn(flag, F.col(rank) == 1).drop(*{by, rank} - {flag})
+    return ranked.where(F.col(rank) == 1).drop(by, rank)
 
 
 def duplicate_count(df: DataFrame, column: str) -> DataFrame:

@@ -14,11 +14,15 @@ def reject_breakdown(attempts: DataFrame) -> DataFrame:
 
     attempts: one row for each attempt, with reject_reason (null: accepted).
     """
-    spark = attempts.sparkSession
+    return breakdown(attempts.groupBy("reject_reason").agg(F.count("*").alias("n")))
+
+
+def breakdown(counts: DataFrame) -> DataFrame:
+    """reject_breakdown from counts (reject_reason, n), which are read once."""
+    spark = counts.sparkSession
     reasons = spark.createDataFrame([(i, r, "article" if r == "empty_text" else "sentence") for i, r in enumerate(L.REJECT_REASONS)], "ord int, reason string, unit string")
-    counts = attempts.groupBy("reject_reason").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    rows = reasons.join(counts, reasons.reason == counts.reject_reason, "left").join(F.broadcast(total))
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy()))
+    rows = reasons.join(counts, reasons.reason == counts.reject_reason, "left")
     n = F.coalesce("n", F.lit(0))
     high = F.when(F.col("reason").isin("mojibake", "no_urdu_chars") & (n > 5000), "HIGH").otherwise("")
     return rows.select("ord", "reason", "unit", n.alias("n"), F.coalesce(F.try_divide(100.0 * n, F.col("total")), F.lit(0.0)).alias("percent"), high.alias("flag"))

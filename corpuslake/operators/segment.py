@@ -29,12 +29,13 @@ def split_on_verbs(c: Column, least: int = 40) -> Column:
 def sentences(c: Column) -> Column:
     """The sentences of a text: at sentence marks; if that gives one, at line ends; if it is long, after verb endings."""
 
-    def of(first: Column) -> Column:
-        second = F.when(F.size(first) <= 1, F.when(F.size(_parts(c, "(?U)\n|\\s{2,}")) > 1, _parts(c, "(?U)\n|\\s{2,}"))).otherwise(first)
+    def of(t: Column, first: Column) -> Column:
+        by_line = let(_parts(t, "(?U)\n|\\s{2,}"), lambda x: F.when(F.size(x) > 1, x))
+        second = F.when(F.size(first) <= 1, by_line).otherwise(first)
         chosen = F.coalesce(second, first)
         return let(chosen, lambda x: F.when((F.size(x) == 1) & (token_count(F.get(x, F.lit(0))) > 20), let(split_on_verbs(F.get(x, F.lit(0))), lambda v: F.when(F.size(v) > 1, v).otherwise(x))).otherwise(x))
 
-    return let(_parts(F.coalesce(c, F.lit("")), f"[{L.SENTENCE_MARKS}]+"), of)
+    return let(F.coalesce(c, F.lit("")), lambda t: let(_parts(t, f"[{L.SENTENCE_MARKS}]+"), lambda first: of(t, first)))
 
 
 def _joined(words: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslake.operators.dedup import fresh
+
 
 def hash_rank(df: DataFrame, key: Column, salt: str, out: str = "rank") -> DataFrame:
     """df with the 1-based rank of each row in the order of md5(salt:key), then key.
@@ -13,11 +15,13 @@ def hash_rank(df: DataFrame, key: Column, salt: str, out: str = "rank") -> DataF
     the ranges' counts, a table of 4096 rows, give the offsets. The salted digest spreads any key evenly.
     """
     digest = F.md5(F.concat(F.lit(f"{salt}:"), key.cast("string")))
-    keyed = df.withColumn("_h", digest).withColumn("_r", F.substring("_h", 1, 3))
-    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("_r").count().select("_r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_r").orderBy("_h", key)
-    return keyed.withColumn("_i", F.row_number().over(inside)).join(F.broadcast(offsets), "_r").withColumn(out, F.col("_i") + F.col("_o")).drop("_h", "_r", "_i", "_o")
+    h, r, i, o = (fresh(df, f"{x}_of_rank") for x in ("digest", "range", "place", "offset"))
+    keyed = df.withColumn(h, digest).withColumn(r, F.substring(h, 1, 3))
+    before = Window.orderBy(r).rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy(r).agg(F.count("*").alias(o))
+    offsets = counts.select(r, F.coalesce(F.sum(o).over(before), F.lit(0)).alias(o))
+    inside = Window.partitionBy(r).orderBy(h, key)
+    return keyed.withColumn(i, F.row_number().over(inside)).join(F.broadcast(offsets), r).withColumn(out, F.col(i) + F.col(o)).drop(h, r, i, o)
 
 
 def shuffled(df: DataFrame, key: Column, salt: str = "42") -> DataFrame:
@@ -50,7 +54,8 @@ def dev_test_train(df: DataFrame, key: Column, dev: int, test: int, train: int |
 def sample_by_group(df: DataFrame, group: str, key: Column, k: int, salt: str = "42") -> DataFrame:
     """Up to k random rows of each group; the group limit keeps a group's rows per partition at k before the shuffle."""
     w = Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{salt}:"), key.cast("string"))), key)
-    return df.withColumn("_rank", F.row_number().over(w)).where(f"_rank <= {k}").drop("_rank")
+    rank = fresh(df, "rank")
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k).drop(rank)
 
 
 def first_groups(df: DataFrame, group: str, order: str, n: int) -> DataFrame:

@@ -25,7 +25,7 @@ from corpuslake.sources.readers import chat_lines, eval_rows, row_range
 from corpuslake.streaming.resume import pending
 
 # The transliteration.
-WORDS = {"the": "کے", "of": "کی", "and": "اور", "to": "کو", "in": "میں", "is": "ہے"}
+WORDS = {"the": "کے", "of": "کی", "and": "اور", "to": "کو", "in": "میں", "is": "ہے", "was": "رہا", "that": "کرتا"}
 LETTERS = ("abcdefghijklmnopqrstuvwxyz.?", "ابپتیثجچہخدکذرونمشسٹطظعگفق۔؟")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,7 +245,7 @@ _REASONS = ", ".join(f"({i}, '{r}', '{'article' if r == 'empty_text' else 'sente
  select reasons.ord::integer as ord, reason, unit, coalesce(n, 0)::bigint as n, round(100.0 * coalesce(n, 0) / (select sum(n) from counts), 6)::double as percent,
  case when reason in ('mojibake', 'no_urdu_chars') and coalesce(n, 0) > 5000 then 'HIGH' else '' end as flag from reasons left join counts on why = reason""")
 def reject_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.reject_breakdown(clean.attempts(articles(spark, sf_dir))).withColumn("percent", F.round("percent", 6))
+    return reports.breakdown(clean.reason_counts(articles(spark, sf_dir))).withColumn("percent", F.round("percent", 6))
 
 
 @query(f"""{GOOD} select count(*)::bigint as n, min(word_count)::integer as min_words, max(word_count)::integer as max_words, round(avg(word_count), 6)::double as mean_words, median(word_count)::double as median_words,
@@ -513,21 +513,19 @@ def all_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("r IS NOT NULL AND p IS NOT NULL").select("sample_id", "error_sentence", norm(F.col("r")).alias("correct_sentence"), norm(F.col("p")).alias("prediction"))
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The triples in ASCII, for the queries whose SQL takes only these."""
-    rows = all_triples(spark, sf_dir)
-    return rows.where(~F.concat("error_sentence", "correct_sentence", "prediction").rlike(r"[^\x00-\x7f]"))
-
-
+# DuckDB's levenshtein counts bytes: each row's characters are numbered (there are fewer than 128 different ones in a
+# triple of these tables) and written as ASCII characters first
+_CODED = lambda x: f"array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: chr(list_position(chars, c)::integer)), '')"
 SQL_TRIPLES = f"""raw as (select conv_id * 1000 + turn as sample_id, text as a, lead(text, 1) over (partition by conv_id order by turn) as b, lead(text, 2) over (partition by conv_id order by turn) as c from conversations),
- triples as (select sample_id, {sql_norm('a')} as error_sentence, {sql_norm('b')} as correct_sentence, {sql_norm('c')} as prediction from raw where b is not null and c is not null and not regexp_matches(a || b || c, '[^\\x00-\\x7f]')),
- report as (select 'model' as model, sample_id, error_sentence, correct_sentence, prediction, prediction = correct_sentence as exact_match, levenshtein(error_sentence, correct_sentence)::integer as source_ref_edit_distance,
-  levenshtein(prediction, correct_sentence)::integer as pred_ref_edit_distance, levenshtein(prediction, correct_sentence) < levenshtein(error_sentence, correct_sentence) as closer_than_source, prediction = error_sentence as unchanged_from_source from triples)"""
+ triples as (select sample_id, {sql_norm('a')} as error_sentence, {sql_norm('b')} as correct_sentence, {sql_norm('c')} as prediction from raw where b is not null and c is not null),
+ coded as (select *, {_CODED('error_sentence')} as xe, {_CODED('correct_sentence')} as xc, {_CODED('prediction')} as xp from (select *, list_distinct(regexp_extract_all(error_sentence || correct_sentence || prediction, '(?s).')) as chars from triples)),
+ report as (select 'model' as model, sample_id, error_sentence, correct_sentence, prediction, prediction = correct_sentence as exact_match, levenshtein(xe, xc)::integer as source_ref_edit_distance,
+  levenshtein(xp, xc)::integer as pred_ref_edit_distance, levenshtein(xp, xc) < levenshtein(xe, xc) as closer_than_source, prediction = error_sentence as unchanged_from_source from coded)"""
 
 
 @query(f"with {SQL_TRIPLES} select * from report")
 def prediction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.prediction_report(triples(spark, sf_dir))
+    return M.prediction_report(all_triples(spark, sf_dir))
 
 
 def _sql_gleu(n: int) -> str:
@@ -547,7 +545,7 @@ SQL_GLEU = f"""tok as (select sample_id, {sql_tokens('prediction')} as p, {sql_t
  round(coalesce(100 * avg((source_ref_edit_distance - pred_ref_edit_distance)::double / source_ref_edit_distance) filter (source_ref_edit_distance > 0), 0), 4)::double as edit_distance_reduction,
  round(coalesce(avg(closer_than_source::int) * 100, 0), 4)::double as closer_rate, round(coalesce(avg(unchanged_from_source::int) * 100, 0), 4)::double as unchanged_rate from report join gleu using (sample_id)""")
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.evaluate(triples(spark, sf_dir))
+    return M.evaluate(all_triples(spark, sf_dir))
 
 
 _PUNCT = r"[!\"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
@@ -566,12 +564,12 @@ SQL_CHRF = f"""with {SQL_TRIPLES}, {_sql_chrf('prediction')}, {_sql_chrf('correc
 
 @query(f"{SQL_CHRF} select n::integer as n, n_pred, n_ref, n_match from sums")
 def chrf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.chrf_counts(triples(spark, sf_dir))
+    return M.chrf_counts(all_triples(spark, sf_dir))
 
 
 @query(f"{SQL_CHRF}, a as (select avg(n_match::double / n_pred) as p, avg(n_match::double / n_ref) as r from sums where n_pred > 0 and n_ref > 0) select round(case when p + r > 0 then 100 * 5 * p * r / (4 * p + r) else 0 end, 6)::double as chrf from a")
 def chrf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.chrf(triples(spark, sf_dir)).select(F.round("chrf", 6).alias("chrf"))
+    return M.chrf(all_triples(spark, sf_dir)).select(F.round("chrf", 6).alias("chrf"))
 
 
 @query()
@@ -581,7 +579,7 @@ def ter_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {SQL_TRIPLES} select sample_id, len({sql_tokens('lower(prediction)')})::integer as n_words, len({sql_tokens('lower(correct_sentence)')})::integer as n_ref from triples""")
 def ter_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triples(spark, sf_dir).select("sample_id", F.size(T.tokens(F.lower("prediction"))).alias("n_words"), F.size(T.tokens(F.lower("correct_sentence"))).alias("n_ref"))
+    return all_triples(spark, sf_dir).select("sample_id", F.size(T.tokens(F.lower("prediction"))).alias("n_words"), F.size(T.tokens(F.lower("correct_sentence"))).alias("n_ref"))
 
 
 @query()

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuslake.functions import lexicon as L
 from corpuslake.functions.chat import pair_of_line
 from corpuslake.functions.text import block_chars, strip
-from corpuslake.operators.dedup import keep_first
+from corpuslake.operators.dedup import fresh, keep_first
 
-#: Names as Java knows them; utf-8 covers files with a byte order mark too.
-ENCODINGS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1256": "windows-1256", "latin1": "ISO-8859-1"}
+#: Names as the CSV reader takes them; utf-8 covers files with a byte order mark too. The reader doesn't take code page
+#: 1256, whose bytes are read one to one and then mapped.
+ENCODINGS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1256": "ISO-8859-1", "latin1": "ISO-8859-1"}
+_HIGH = bytes(range(128, 256))
 
 
 def clean_header(df: DataFrame) -> DataFrame:
@@ -36,7 +37,11 @@ def sniff_text_column(df: DataFrame) -> str | None:
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """All columns as text; quotes as in RFC 4180, line breaks inside them included."""
-    return clean_header(spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=ENCODINGS.get(encoding, encoding), inferSchema=False))
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=ENCODINGS.get(encoding, encoding), inferSchema=False)
+    if encoding == "cp1256":
+        high = str.maketrans(_HIGH.decode("latin1"), _HIGH.decode("cp1256"))
+        df = df.select(*[F.translate(F.col(f"`{c}`"), _HIGH.decode("latin1"), _HIGH.decode("cp1256")).alias(c.translate(high)) for c in df.columns])
+    return clean_header(df)
 
 
 def read_news_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8-sig", "utf-8", "cp1256"), least: int = 20) -> tuple[DataFrame, str]:
@@ -55,20 +60,30 @@ def read_news_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = (
 
 
 def read_csv_auto(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
-    """All columns as text, null as the empty text, in the first encoding without replacement characters in the first rows."""
+    """All columns as text, null as the empty text, in the first encoding without replacement characters anywhere; the search ends at the first one."""
     for name in ("utf-8-sig", "utf-8", "cp1256", "latin1"):
         df = read_csv(spark, path, name)
         bad = [F.contains(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit("�")) for c in df.columns]
-        if bad and df.limit(1000).where(F.greatest(*bad) if len(bad) > 1 else bad[0]).isEmpty():
+        if bad and df.where(F.greatest(*bad) if len(bad) > 1 else bad[0]).isEmpty():
             break
     df = df.na.fill("")
     return df.limit(nrows) if nrows is not None else df
 
 
 def with_ordinal(df: DataFrame, out: str = "ord") -> DataFrame:
-    """df with the rows' places in the file, from 0. For files without an id; a source with one should use that."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """df with the rows' places in the file, from 0. For files without an id; a source with one should use that.
+
+    A row's place is its place in its partition and the sizes of the partitions before, a table of one row each. df is
+    read twice and must give the same partitions both times, as scans of files do.
+    """
+    at = fresh(df, "place")
+    placed = df.withColumn(at, F.monotonically_increasing_id())  # the partition from bit 33 on
+    part = F.shiftright(at, 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
+    sizes = sizes.toDF(fresh(df, "part"), fresh(df, "offset"))
+    joined = placed.join(F.broadcast(sizes), part == sizes[sizes.columns[0]])
+    return joined.withColumn(out, F.col(at).bitwiseAND((1 << 33) - 1) + sizes[sizes.columns[1]]).drop(at, *sizes.columns)
 
 
 def row_range(df: DataFrame, start: int = 0, end: int = -1, ordinal: str = "ord") -> DataFrame:
