@@ -23,6 +23,8 @@ from corpuslake.llm._base import ship, staged
 from corpuslake.llm._words import U64, Words, mix, pieces
 
 BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
+#: From so many distinct words on, contexts and 40 bits of a successor don't fit one key.
+WIDE = 1 << 24
 #: Count classes of contexts: 1 to 15 apart, then by powers of two.
 CLASSES = 80
 
@@ -72,7 +74,7 @@ class Pairs:
         self.spread = spread
         home = (self.contexts % U64(buckets)).astype(np.int64)
         low = mix(nxt * U64(0xD1342543DE82EF95)) & U64((1 << 40) - 1)
-        if len(self.contexts) < 1 << 24:  # one key that sorts by context, then successor
+        if len(self.contexts) < WIDE:  # one key that sorts by context, then successor
             uniq, self.pi = np.unique((self.vi.astype(U64) << U64(40)) | low, return_inverse=True)
             v, low = (uniq >> U64(40)).astype(np.int64), uniq & U64((1 << 40) - 1)
         else:  # a very long text can have more words; the same order by two keys

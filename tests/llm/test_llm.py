@@ -513,3 +513,100 @@ def test_near_copies_of_a_large_group(spark):
     _, comp = near(rows, cfg.k, cfg.percent)
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string, n long"), cfg).collect()
     assert {r.doc_id: r.component_id for r in got} == comp
+
+
+def test_licenses_equal_brute_force():
+    """The whole-text longest common subsequence over every window as long as a template and its band says which licenses a text holds."""
+    rng = random.Random(61)
+    cfg = license_scan.Config()
+    known = license_scan.Templates(license_scan.TEMPLATES, cfg)
+    words = {n: known.words[i] for i, n in enumerate(known.names)}
+    texts = []
+    for n, t in license_scan.TEMPLATES.items():
+        for k in (0, 1, 3):
+            v = t.split()
+            for _ in range(k * len(v) // 40):
+                at = rng.randrange(len(v))
+                v[at : at + 1] = rng.choice([[], [text_of(rng, 1)], [v[at], text_of(rng, 1)]])
+            texts.append(f"{text_of(rng, rng.randint(0, 20))} {' '.join(v)} {text_of(rng, rng.randint(0, 20))}")
+    texts += [text_of(rng, 200), ""]
+    got = {(t, n) for t, n, *_ in known.scan(pa.array(texts))}
+
+    def lcs(a, b):
+        row = np.zeros(len(b) + 1, np.int64)
+        for x in a:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+        return int(row[-1])
+
+    w = decontaminate.trimmed_words(pa.array(texts))
+    for t in range(len(texts)):
+        own = w.hashes[w.first[t] : w.first[t + 1]]
+        for n, template in words.items():
+            width = len(template) + min(cfg.band, max(1, len(template) // 2)) // 2
+            most = max((lcs(template, own[i : i + width]) for i in range(max(1, len(own) - width + 1))), default=0) if len(own) else 0
+            if most >= cfg.coverage * len(template):
+                assert (t, n) in got, (t, n)
+            elif (t, n) in got:
+                assert lcs(template, own) >= cfg.coverage * len(template)
+
+
+def test_licenses_side_by_side(spark):
+    t = license_scan.TEMPLATES["MIT-notice"]
+    df = spark.createDataFrame([(1, "\n".join([t] * 9)), (1, "\n".join([t] * 9)), (2, t + " " + t)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.license) for r in license_scan.scan_licenses(df).collect())
+    assert got[1, "MIT-notice"] == 18 and got[2, "MIT-notice"] == 2
+
+
+def test_tree_uses_densities_and_cues(spark):
+    tree = html_extract.train()
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    long = lambda n: " ".join(["word"] * n)
+    links = "".join(f"<li><a href='/{i}'>more on this</a></li>" for i in range(6))
+    crafted = [
+        f"<article><h1>Head</h1><p>{long(80)}</p><p>{long(60)}</p><ul>{links}</ul></article>",
+        f"<article><h2>Teaser</h2><p>{long(18)}</p></article><div><p>{long(90)}</p><p>{long(120)}</p><p>{long(100)}</p></div>",
+        f"<div><ul>{links}</ul></div><div><p>{long(90)}</p><p>{long(60)}</p></div>",
+        f"<article><div class='header'><p>{long(60)}</p><p>{long(50)}</p></div></article>",
+    ]
+    main = [html_extract.main_text(p, tree).split() for p in crafted]
+    assert [m.count("word") for m in main] == [140, 328, 150, 110] and not any("more" in m for m in main)
+    flat = lambda row, at, value: tuple(value if i in at else x for i, x in enumerate(row))
+    differ = right = n = 0
+    for p in crafted + pages:
+        for row in html_extract.features(html_extract.blocks(p)):
+            now = html_extract.classify(tree, row)
+            differ += html_extract.classify(tree, flat(row, {1, 3, 5}, 0.0)) != now
+            right += (html_extract.classify(tree, flat(row, {6, 7, 8}, 0)) == now) * row[0]
+            n += row[0]
+    assert differ > 0 and right >= 0.8 * n
+
+
+def test_short_items_are_found_whole(spark):
+    bench = spark.createDataFrame([(1, "Alpha beta."), (2, "one two three four five"), (3, "solo"), (4, "..."), (5, "one two three four five")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha BETA y alpha, beta"), (2, "one two three four"), (3, "Solo; one two three four five"), (4, None), (3, "solo")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.first_word, r.n_windows, r.item_words) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == [(1, 1, 1, 2, 2), (3, 2, 1, 1, 5), (3, 3, 0, 1, 1), (3, 3, 0, 1, 1), (3, 5, 1, 1, 5)]
+
+
+def test_language_model_of_many_words(monkeypatch):
+    """The two ways to order pairs agree."""
+    rng = random.Random(67)
+    texts = pa.array([text_of(rng, 300), text_of(rng, 50), ""])
+    train = np.array([True, False, True])
+    a = lm_score.Pairs(texts, train, 3, {})
+    monkeypatch.setattr(lm_score, "WIDE", 0)
+    b = lm_score.Pairs(texts, train, 3, {})
+    for x in ("v", "low", "count", "bucket", "pi"):
+        assert (getattr(a, x) == getattr(b, x)).all()
+
+
+def test_pipeline_stages_on_odd_rows(spark, rows, empty):
+    import corpus_pipeline
+
+    bench = "/root/testdata/sf0.001"
+    cases = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t, *_ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (cases, cases.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            out = stage(spark, docs, bench)
+            assert set(docs.columns) <= set(out.columns), name
+            out.write.format("noop").mode("overwrite").save()
