@@ -156,6 +156,7 @@ PAGES = (
     ((9, 0.0, 0, 1, 1, 1), (50, 0.0, 0, 1, 0, 1), (6, 1.0, 0, 1, 0, 1), (40, 0.3, 0, 1, 0, 1), (90, 0.1, 0, 1, 0, 1), (8, 0.5, 0, 1, 0, 1), (70, 0.0, 0, 1, 0, 1)),
     ((4, 0.0, 0, 1, 1, 1), (80, 0.0, 0, 1, 0, 1), (45, 0.1, 0, 1, 0, 1), (4, 1.0, 0, 1, 0, 0), (5, 1.0, 0, 1, 0, 0), (3, 1.0, 0, 1, 0, 0), (6, 0.9, 0, 1, 0, 0), (10, 0.0, 1, 0, 0, 0)),
     ((1, 1.0, 0, 1, 0, 0), (2, 1.0, 0, 1, 0, 0), (1, 1.0, 0, 1, 0, 0), (7, 0.0, 0, 1, 1, 1), (35, 0.0, 0, 1, 0, 1), (64, 0.0, 0, 1, 0, 1), (12, 0.9, 0, 1, 0, 0), (9, 1.0, 0, 1, 0, 0), (14, 0.8, 0, 1, 0, 0)),
+    ((3, 1.0, 0, 1, 0, 0), (4, 1.0, 0, 1, 0, 0), (5, 1.0, 0, 1, 0, 0), (80, 0.0, 0, 1, 0, 1), (60, 0.0, 0, 1, 0, 1)),
     # reader comments, notices and sidebars, long ones too
     ((5, 0.0, 0, 1, 1, 1), (70, 0.0, 0, 1, 0, 1), (90, 0.0, 0, 1, 0, 1), (1, 0.0, 1, 1, 1, 0), (60, 0.0, 1, 1, 0, 0), (25, 0.1, 1, 1, 0, 0), (90, 0.0, 1, 1, 0, 0), (200, 0.0, 1, 1, 0, 0), (3, 1.0, 1, 1, 0, 0)),
     ((30, 0.0, 1, 1, 0, 0), (44, 0.0, 0, 1, 0, 1), (60, 0.0, 1, 1, 0, 0), (52, 0.0, 0, 1, 0, 1), (2, 1.0, 1, 1, 0, 0), (75, 0.0, 0, 1, 0, 1)),
@@ -180,6 +181,8 @@ UNPLACED = (
     (3, 0.8, 60, 0.0, 50, 0.0, 0, 0), (40, 0.7, 60, 0.0, 3, 1.0, 0, 0), (2, 0.0, 1, 1.0, 2, 0.0, 1, 0), (15, 0.9, 40, 0.0, 0, 0.0, 0, 0), (80, 0.9, 1, 1.0, 5, 1.0, 0, 0), (4, 0.0, 2, 0.0, 3, 0.0, 0, 0),
     (80, 0.0, 9, 0.0, 70, 0.0, 0, 1), (65, 0.1, 80, 0.0, 14, 0.0, 0, 1), (150, 0.0, 10, 0.0, 12, 0.0, 0, 1), (12, 0.0, 70, 0.0, 60, 0.0, 0, 1), (25, 0.1, 40, 0.0, 3, 1.0, 0, 1), (40, 0.2, 12, 0.0, 50, 0.1, 0, 1),
     (6, 0.0, 60, 0.0, 50, 0.0, 1, 1), (8, 0.0, 2, 1.0, 70, 0.0, 1, 1), (18, 0.0, 30, 0.0, 20, 0.0, 0, 1), (3, 0.0, 50, 0.0, 40, 0.0, 0, 1), (30, 0.3, 60, 0.0, 25, 0.1, 0, 1), (22, 0.0, 25, 0.0, 1, 1.0, 0, 1),
+    (4, 1.0, 4, 1.0, 90, 0.0, 0, 0), (2, 1.0, 3, 1.0, 60, 0.0, 0, 0), (6, 1.0, 5, 0.9, 120, 0.1, 0, 0), (12, 1.0, 12, 1.0, 45, 0.0, 0, 0),
+    (90, 0.0, 3, 1.0, 60, 0.0, 0, 1), (120, 0.1, 4, 1.0, 80, 0.0, 0, 1), (50, 0.0, 6, 0.9, 45, 0.1, 0, 1), (70, 0.0, 2, 1.0, 8, 0.0, 0, 1), (35, 0.0, 5, 1.0, 60, 0.0, 0, 1), (100, 0.0, 12, 1.0, 35, 0.0, 0, 1),
     (300, 0.0, 1, 1.0, 2, 1.0, 0, 1), (60, 0.0, 3, 0.0, 0, 0.0, 0, 1), (45, 0.1, 1, 1.0, 30, 0.0, 0, 1), (16, 0.0, 45, 0.0, 90, 0.0, 0, 1), (4, 0.0, 3, 0.0, 80, 0.0, 1, 1), (28, 0.0, 0, 0.0, 26, 0.0, 0, 1),
 )
 
