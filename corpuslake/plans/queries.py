@@ -21,6 +21,7 @@ from corpuslake.operators import align, corrupt, reports, segment, split, valida
 from corpuslake.operators.dedup import duplicate_count, keep_first
 from corpuslake.operators.generate import back_translate
 from corpuslake.plans import clean
+from corpuslake.plans.generation import corrected
 from corpuslake.sources.readers import chat_lines, eval_rows, row_range
 from corpuslake.streaming.resume import pending
 
@@ -502,6 +503,18 @@ def prediction_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", T.prediction(raw).alias("prediction"))
 
 
+@query(f"""select item_id, {sql_norm("text")} as prediction from benchmark""")
+def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correction of each item by a stub that answers with the text of its prompt."""
+
+    def stub():
+        import json
+
+        return lambda prompts: [json.dumps({"answer": p.split("following text:\n", 1)[1].rsplit("\n\nCorrected sentence:", 1)[0]}) for p in prompts]
+
+    return corrected(table(spark, sf_dir, "benchmark").select("item_id", "text"), stub, "text").select("item_id", "prediction")
+
+
 # --- evaluation --------------------------------------------------------------------------------------------------
 
 

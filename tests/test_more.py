@@ -136,3 +136,38 @@ def test_shuffle_is_reproducible(spark):
     df = spark.range(100)
     a, b = [r.id for r in split.shuffled(df, F.col("id")).collect()], [r.id for r in split.shuffled(df.repartition(3), F.col("id")).collect()]
     assert a == b and a != list(range(100)) and sorted(a) == list(range(100))
+
+
+def test_generation_can_be_interrupted(spark, tmp_path):
+    from corpuslake.functions.lexicon import ERROR_TYPES
+    from corpuslake.plans.generation import finished, generate_errors
+
+    answer = json.dumps({"errors": [{"error_type": t, "error_sentence": f"s{i}", "changed_part": ""} for i, (t, *_) in enumerate(ERROR_TYPES)]})
+    rows = spark.createDataFrame([(i, None if i == 3 else f"t{i}", "x") for i in range(12)], "original_id long, sentence string, topic string")
+    path = str(tmp_path / "run")
+
+    def breaks():
+        return lambda prompts: [answer if "t7\n" not in p else 1 / 0 for p in prompts]
+
+    def works():
+        return lambda prompts: [answer if "t5\n" not in p else "no" for p in prompts]
+
+    with pytest.raises(Exception):
+        generate_errors(rows, breaks, path, batches=4)
+    assert generate_errors(rows, works, path, batches=2) > 0 and generate_errors(rows, works, path, batches=2) == 0
+    more = rows.unionByName(spark.createDataFrame([(50, "t50", "x")], rows.schema))
+    assert generate_errors(more, works, path, batches=1) > 0
+    pairs = finished(rows, path)
+    assert {r.original_id: r["count"] for r in pairs.groupBy("original_id").count().collect()} == {i: 6 for i in (*range(12), 50) if i not in (3, 5)} | ({} if pairs.where("original_id = 5").isEmpty() else {5: 6})
+    assert "orig_topic" in pairs.columns and finished(rows, path, "failed").where("original_id <> 5").isEmpty()
+    assert sorted(int(r.original_id) for r in spark.read.parquet(f"{path}/done").collect()) == [*range(12), 50]
+
+
+def test_stats_report(spark):
+    from corpuslake.plans.report import stats_report
+
+    articles = Q.articles(spark, SF)
+    good = clean.clean_sentences(articles).cache()
+    text = stats_report(articles, "T", good)
+    good.unpersist()
+    assert all(f"-- {x}" in text for x in ("Totals", "Rejections", "Categories", "Sources", "Lengths", "Random sentences")) and "too_short" in text
