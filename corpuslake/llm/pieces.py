@@ -294,7 +294,10 @@ def encode_pieces(docs: DataFrame, model: str, with_ids: bool = True, check: boo
 
 
 def decode_pieces(df: DataFrame, model: str, column: str = "pieces", out: str = "decoded") -> DataFrame:
-    """df with the decoded text of an array<int> column; null counts as no pieces; bytes that aren't UTF-8 become U+FFFD."""
+    """df with the decoded text of an array<int> column; null counts as no pieces; bytes that aren't UTF-8 become U+FFFD.
+
+    Repeated rows are decoded alike; a column with the name of the output is replaced; an empty table gives an empty one.
+    """
     ship(df.sparkSession)
     vocabulary = Vocabulary.load(model)
     own = [c for c in df.columns if c != out]

@@ -130,7 +130,11 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that the rules keep, with all their columns. Rejected rows go; repeated rows are judged alike."""
+    """The documents that the rules keep, with all their columns, whatever their names.
+
+    Null, empty and blank texts have no words, fail the base rule and go, also where doc_id is null; repeated rows are
+    judged alike; texts of any length are judged whole; an empty table gives an empty one.
+    """
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     judged = quality_columns(inner, "row.text", rules)
     return judged.where("kept").select("row.*")
