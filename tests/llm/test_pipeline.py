@@ -32,3 +32,28 @@ def test_stages(spark):
         assert max(len(sets[i] & sets[j]) / len(sets[i]) for j in single if j < i) >= 0.4, i
     assert sum(out[i].text != texts[i].text for i in out) <= 0.1 * len(out)
     assert all(r.round_trip and r.n_pieces == len(r.pieces) for r in out.values())
+
+
+def grams(text, k):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def test_shared_passages_are_cut(spark):
+    """After substring dedup no document holds 50 words in a row of an earlier one, and what is cut stood in one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
+    before = {r.doc_id: r for r in docs.collect()}
+    after = {r.doc_id: r for r in corpus_pipeline.substring_dedup(spark, docs, SF).collect()}
+    seen, short, cut = set(), set(), 0
+    for d in sorted(before):
+        text, now = before[d].text or "", after[d].text if d in after else ""
+        if grams(text, 50) & seen:
+            assert not grams(now, 50) & seen, d
+        if now != text:
+            gone = grams(text, 5) - grams(now, 5)
+            assert len(text.split()) - len(now.split()) >= 40 and len(gone & short) >= 0.3 * len(gone), d
+            cut += 1
+            assert d not in after or after[d].n_chars == len(now)
+        seen |= grams(text, 50)
+        short |= grams(text, 5)
+    assert cut >= 20
