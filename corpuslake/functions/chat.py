@@ -12,6 +12,7 @@ from corpuslake.functions.text import normalize_for_scoring, source_of_prompt
 CORRECTION_SYSTEM = "You are an expert in the Urdu language."
 CORRECTION_USER = "Please correct all the spelling and grammatical errors in the following text:\n"
 GENERATION_SYSTEM = "You are an Urdu grammar error generation expert. Generate controlled Urdu error sentences for NLP research. Keep Urdu script. Do not translate. Return valid JSON only."
+GENERATION_HEAD = "Original Urdu sentence:\n"
 GENERATION_RULES = (
     "Return JSON only. Do not output markdown or extra explanation.",
     "The JSON must contain exactly 6 objects.",
@@ -30,12 +31,16 @@ def error_type_text() -> str:
     return "\n".join(f"{i}. error_type: {t}\n   instruction: {text}" for i, (t, _, _, text) in enumerate(L.ERROR_TYPES, 1))
 
 
-def generation_prompt(sentence: Column) -> Column:
-    """The user prompt that asks for six error samples of a sentence."""
+def generation_tail() -> str:
+    """What follows the sentence in the prompt for six error samples."""
     rules = "\n".join(f"{i}. {r}" for i, r in enumerate(GENERATION_RULES, 1))
     shape = ",\n".join(f'    {{"error_type": "{t}", "error_sentence": "...", "changed_part": "..."}}' for t, *_ in L.ERROR_TYPES)
-    after = f"\n\nGenerate exactly 6 error samples for the original sentence.\n\nTarget error types, in this exact order:\n{error_type_text()}\n\nStrict requirements:\n{rules}\n\nJSON format:\n{{\n  \"errors\": [\n{shape}\n  ]\n}}\n\n/no_think"
-    return F.concat(F.lit("Original Urdu sentence:\n"), sentence, F.lit(after))
+    return f"\n\nGenerate exactly 6 error samples for the original sentence.\n\nTarget error types, in this exact order:\n{error_type_text()}\n\nStrict requirements:\n{rules}\n\nJSON format:\n{{\n  \"errors\": [\n{shape}\n  ]\n}}\n\n/no_think"
+
+
+def generation_prompt(sentence: Column) -> Column:
+    """The user prompt that asks for six error samples of a sentence."""
+    return F.concat(F.lit(GENERATION_HEAD), sentence, F.lit(generation_tail()))
 
 
 def correction_messages(sentence: Column) -> Column:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslake.functions import chat
 from corpuslake.functions import lexicon as L
 from corpuslake.functions import metrics as M
 from corpuslake.functions import rng
@@ -461,7 +462,11 @@ def llm_failed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.failed_raw(_model_outputs(spark, sf_dir))
 
 
-@query()
+_USER = f"{q(chat.GENERATION_HEAD)} || text || {q(chat.generation_tail())}"
+
+
+@query(f"""select item_id, to_json([{{'role': 'system', 'content': {q(chat.GENERATION_SYSTEM)}}}, {{'role': 'user', 'content': {_USER}}}])::varchar as messages,
+ trim({q(chat.GENERATION_SYSTEM)}) || chr(10) || chr(10) || trim({_USER}) as merged, trim({q(chat.GENERATION_SYSTEM)}) || chr(10) || chr(10) || trim({_USER}) || chr(10) || chr(10) || 'Corrected sentence:' as plain from benchmark""")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = generation_messages(F.col("text"))
     return table(spark, sf_dir, "benchmark").select("item_id", F.to_json(m).alias("messages"), merged_user_text(m).alias("merged"), plain_prompt(m).alias("plain"))

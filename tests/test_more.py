@@ -171,3 +171,64 @@ def test_stats_report(spark):
     text = stats_report(articles, "T", good)
     good.unpersist()
     assert all(f"-- {x}" in text for x in ("Totals", "Rejections", "Categories", "Sources", "Lengths", "Random sentences")) and "too_short" in text
+
+
+def test_chunks_equal_plain_python(spark):
+    from corpuslake.functions.lexicon import CHUNK_MARKS
+    from corpuslake.operators import segment
+
+    def plain(sentence):
+        out, held = [], ""
+        for word in sentence.split():
+            held = f"{held} {word}".strip()
+            if len(held.split()) >= 30:
+                mark = next((m for m in CHUNK_MARKS if m in held), None)
+                pieces = held.split(mark) if mark else [held, ""]
+                out += [p.strip() + (mark or "") for p in pieces[:-1] if p.strip()]
+                held = pieces[-1].strip()
+        return [c for c in [*out, held] if len(c.split()) >= 5]
+
+    t = F.trim(F.regexp_replace("text", T.WS, " "))
+    rows = Q.articles(spark, SF).select("ord", F.posexplode(segment.sentences(t)).alias("pos", "s")).collect()
+    want = sorted((r.ord, i, c) for r in rows if len(r.s.split()) > 30 for i, c in enumerate(plain(r.s)))
+    got = sorted((r.doc_id, r.pos, r.chunk) for r in Q.QUERIES["sentence_chunks"](spark, SF).collect())
+    assert got == want and len(got) > 50
+
+
+def test_alignment_equals_plain_python(spark):
+    from corpuslake.functions.lexicon import ERROR_TYPES
+
+    types = {t: (cat, zh) for t, cat, zh, _ in ERROR_TYPES}
+
+    def items(raw):
+        t = re.sub(r"```(?:json|JSON)?", "", re.sub(r"(?s)<think>.*?</think>", "", raw.strip())).strip()
+        for part in (t, *(m[0] for p in (r"\{.*\}", r"\[.*\]") if (m := re.search(p, t, re.S)))):
+            try:
+                x = json.loads(part)
+            except ValueError:
+                continue
+            x = x.get("errors", []) if isinstance(x, dict) else x
+            return [(i["error_type"], i["error_sentence"].strip(), i["changed_part"]) if isinstance(i, dict) else ("", i.strip(), "") for i in x]
+        return []
+
+    def aligned(raw, sentence):
+        left, by, out = [], {}, []
+        for i in items(raw):
+            if i[0] in types and i[0] not in by:
+                by[i[0]] = i
+            else:
+                left.append(i)
+        for t in types:
+            i = by.get(t) or (left.pop(0) if left else None)
+            good = i is not None and i[1] not in ("", sentence)
+            status = ("success" if good else "failed_empty_or_same") if t in by else ("success_order_aligned" if good else "failed_missing")
+            out.append((t, i[1] if good else "", i[2] if i else "", status))
+        return out
+
+    raw = {r.original_id: r for r in Q._model_outputs(spark, SF).collect()}
+    want = sorted((i, r.sentence, x[1], types[x[0]][0], x[0], types[x[0]][1], x[2], x[3]) for i, r in raw.items() for x in aligned(r.raw_output, r.sentence))
+    got = sorted((r.original_id, r.original_sentence, r.error_sentence, r.error_category, r.error_type, r.error_type_zh, r.changed_part, r.parse_status) for r in Q.QUERIES["llm_align"](spark, SF).collect())
+    assert got == want
+    good = {i: sum(x[3].startswith("success") for x in aligned(r.raw_output, r.sentence)) for i, r in raw.items()}
+    failed = sorted((r.original_id, r.original_sentence, r.success_count, r.raw_output) for r in Q.QUERIES["llm_failed_raw"](spark, SF).collect())
+    assert failed == sorted((i, r.sentence, good[i], r.raw_output[:3000]) for i, r in raw.items() if good[i] < 6)
