@@ -112,6 +112,11 @@ def _unfive(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _counts(n: np.ndarray) -> bytes:
+    """Counts in 4 bytes each, or in 8 where one needs them."""
+    return n.astype(np.uint64 if n.max(initial=0) >= 1 << 32 else np.uint32).tobytes()
+
+
 def _answer(rows: list[dict]) -> tuple[list[dict], dict[str, np.ndarray]]:
     """Replies to the messages of one bucket, in their order, and what the bucket adds to the totals."""
     contexts = [np.frombuffer(r["contexts"], U64) for r in rows]
@@ -134,7 +139,7 @@ def _answer(rows: list[dict]) -> tuple[list[dict], dict[str, np.ndarray]]:
     replies, a, p = [], 0, 0
     for r, own in zip(rows, contexts, strict=True):
         m = len(r["counts"]) // 4
-        replies.append({"b": r["b"], "bucket": r["bucket"], "pairs": total[group[p : p + m]].astype(np.uint64).tobytes(), "c": c[where[a : a + len(own)]].astype(np.uint64).tobytes()})
+        replies.append({"b": r["b"], "bucket": r["bucket"], "pairs": _counts(total[group[p : p + m]]), "c": c[where[a : a + len(own)]].astype(np.uint64).tobytes()})
         a, p = a + len(own), p + m
     return replies, {"context": all_contexts, "c": c, "single": single, "hot": hot}
 
@@ -275,7 +280,7 @@ def lm_scores(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
         at = 0
         for bucket, own, _, low, _, _ in pairs.messages():
             r = replies[bucket]
-            counts[at : at + len(low)] = np.frombuffer(r["pairs"], U64).astype(np.int64)
+            counts[at : at + len(low)] = np.frombuffer(r["pairs"], U64 if len(r["pairs"]) > 4 * len(low) else np.uint32).astype(np.int64)
             contexts[np.searchsorted(pairs.contexts, own)] = np.frombuffer(r["c"], U64).astype(np.int64)
             at += len(low)
         for h, n in hot_counts.items():
