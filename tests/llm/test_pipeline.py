@@ -1,7 +1,7 @@
 """The pipeline against each stage's brute-force meaning on the smallest table."""
 
 import corpus_pipeline
-from corpuslake.llm import quality
+from corpuslake.llm import quality, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +57,20 @@ def test_shared_passages_are_cut(spark):
         seen |= grams(text, 50)
         short |= grams(text, 5)
     assert cut >= 20
+
+
+def test_substring_dedup_moves_no_clean_texts(spark):
+    """Where few documents are cut, the others are picked by broadcast ids, also when Spark itself wouldn't broadcast; rows are the same by either path."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 150")
+    docs = docs.unionByName(docs.where("doc_id < 20").withColumn("doc_id", docs["doc_id"] + 1000))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = substring_dedup.drop_repeated_passages(docs)
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "LeftAnti" in plan and "LeftOuter" not in plan and "BroadcastHashJoin" in plan
+        rows = {r.doc_id: r for r in few.collect()}
+        assert rows == {r.doc_id: r for r in substring_dedup.drop_repeated_passages(docs, substring_dedup.Config(broadcast_ids=0)).collect()}
+        assert len(rows) < docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
