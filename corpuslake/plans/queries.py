@@ -527,7 +527,9 @@ def all_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three successive turns as source, reference and prediction."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     norm = T.normalize_for_scoring
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), norm(F.col("text")).alias("error_sentence"), F.lead("text", 1).over(w).alias("r"), F.lead("text", 2).over(w).alias("p"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    turns = turns.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "conv_id")  # of a count that stays: few bytes are much work here
+    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), norm(F.col("text")).alias("error_sentence"), F.lead("text", 1).over(w).alias("r"), F.lead("text", 2).over(w).alias("p"))
     return rows.where("r IS NOT NULL AND p IS NOT NULL").select("sample_id", "error_sentence", norm(F.col("r")).alias("correct_sentence"), norm(F.col("p")).alias("prediction"))
 
 
