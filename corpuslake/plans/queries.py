@@ -594,7 +594,7 @@ def chrf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ter_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.ter(spread(all_triples(spark, sf_dir)))
+    return M.ter(all_triples(spark, sf_dir))
 
 
 @query(f"""with {SQL_TRIPLES} select sample_id, len({sql_tokens('lower(prediction)')})::integer as n_words, len({sql_tokens('lower(correct_sentence)')})::integer as n_ref from triples""")

@@ -33,3 +33,16 @@ def test_chrf_counts_of_shared_and_missing_ids(spark):
 def test_chrf_grams_of_single_rows_do_not_move(spark):
     df = spark.createDataFrame([(i, f"abc {i}" * 20, f"abd {i}" * 20) for i in range(50)], "sample_id long, prediction string, correct_sentence string")
     assert [list(x) for x in M.pair_grams(*zip(*[r[1:] for r in df.collect()], strict=True), most=300)] == [[r.n, r.n_pred, r.n_ref, r.n_match] for r in sorted(M.chrf_counts(df).collect())]
+
+
+def test_ter_matches_words_once_a_shift(monkeypatch):
+    calls = []
+    real = M.word_edits
+    monkeypatch.setattr(M, "word_edits", lambda a, b: calls.append(1) or real(a, b))
+    a = "c d a b e f g h"
+    assert M.ter_edits(a, "a b c d e f g h x") == (2, 9) and len(calls) <= 2
+    calls.clear()
+    # nothing to gain, as all words that both have are matched
+    assert M.ter_edits("a b c q", "a b c d e") == (2, 5) and not calls
+    for x, y in ((a, "h g f e"), ("", "a"), ("a b a b", "b a b a b"), ("q", "q")):
+        assert M._distance(x.split(), y.split()) == real(x.split(), y.split())[0]
