@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpuslake.functions import lexicon as L
-from corpuslake.functions.text import WS, let, strip, token_count
+from corpuslake.functions.text import WS, let, replace_where, strip, token_count
 
 _NONE = "array<string>"
 
@@ -22,7 +22,7 @@ def split_on_verbs(c: Column, least: int = 40) -> Column:
 
     Endings are tried one by one in their order, so a short one also cuts inside a longer one.
     """
-    marked = reduce(lambda t, p: F.regexp_replace(t, rf"(?U)({p})(?=[\s\x1c-\x1f]+[؀-ۿ])", "$1\u0000"), L.VERB_ENDINGS, c)
+    marked = reduce(lambda t, p: replace_where(t, p, f"({p})(?={WS}[؀-ۿ])", "$1\u0000"), L.VERB_ENDINGS, c)
     return F.when(token_count(c) > least, _parts(marked, "\u0000")).otherwise(F.array(c))
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from corpuslake.functions.text import ascii_letters, block_chars, let, letters, strip, tokens
 
 
-def most_frequent(words: Column) -> Column:
-    """How often the most frequent element occurs."""
-    return F.array_max(F.transform(F.array_distinct(words), lambda x: F.size(F.filter(words, lambda y: y == x))))
+def occurs(words: Column, least: Column) -> Column:
+    """Whether an element occurs `least` times or more. Sorted, such an element stands at two places that far apart."""
+    by_order = lambda x: F.exists(F.sequence(F.lit(0), F.size(x["w"]) - x["k"]), lambda i: F.get(x["w"], i) == F.get(x["w"], i + x["k"] - 1))
+    # with so many different elements none can occur so often
+    return F.when(F.size(words) - F.size(F.array_distinct(words)) + 1 < least, False).otherwise(let(F.struct(F.sort_array(words).alias("w"), least.alias("k")), by_order))
 
 
 def reject_reason(sentence: Column) -> Column:
@@ -21,11 +23,11 @@ def reject_reason(sentence: Column) -> Column:
         return (
             F.when(F.size(w) < 5, "too_short")
             .when(F.size(w) > 30, "too_long")
-            .when(ascii_letters(sentence) / long > 0.20, "latin_heavy")
-            .when(block_chars(sentence) < 10, "no_urdu_chars")
+            .when(sentence.rlike("[A-Za-z]") & (ascii_letters(sentence) / long > 0.20), "latin_heavy")
+            .when(~sentence.rlike(r"\A(?:[^؀-ۿ]*+[؀-ۿ]){10}"), "no_urdu_chars")
             .when(sentence.rlike("[طظغ]{3,}"), "mojibake")
             .when(letters(sentence) / long < 0.50, "mostly_symbols")
-            .when(most_frequent(w) / F.size(w).cast("double") > 0.35, "repetitive")
+            .when(occurs(w, F.floor(F.size(w) * 7 / 20).cast("int") + 1), "repetitive")  # over 0.35 of the words
         )
 
     return let(tokens(sentence), of)

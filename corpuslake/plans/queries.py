@@ -56,8 +56,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def transliterated(c: Column) -> Column:
-    words = F.transform(F.split(F.lower(c), " "), lambda w: reduce(lambda t, kv: t.when(w == kv[0], kv[1]), WORDS.items(), F.when(w.isNull(), w)).otherwise(w))
-    return F.translate(F.array_join(words, " "), *LETTERS)
+    """Words are what stands between single spaces: with each space doubled, replacements of neighbours don't meet."""
+    doubled = F.concat(F.lit(" "), F.replace(F.lower(c), F.lit(" "), F.lit("  ")), F.lit(" "))
+    words = reduce(lambda t, kv: F.replace(t, F.lit(f" {kv[0]} "), F.lit(f" {kv[1]} ")), WORDS.items(), doubled)
+    inside = T.let(words, lambda t: F.substr(t, F.lit(2), F.length(t) - 2))
+    return F.translate(F.replace(inside, F.lit("  "), F.lit(" ")), *LETTERS)
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +214,7 @@ _COLLAPSED = f"trim({sub('t', S + '+', ' ')})"
 
 @query(f"with tr as ({SQL_TR}), bodies as (select doc_id as k, {_COLLAPSED} as body from tr), {SQL_SEGMENT} select k as doc_id, pos::integer as pos, sentence from laid")
 def sentence_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.trim(F.regexp_replace("text", T.WS, " "))
+    t = F.trim(T.collapse(F.col("text")))
     return articles(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.posexplode(segment.sentences(t)).alias("pos", "sentence"))
 
 
@@ -221,14 +224,14 @@ _PLAIN = f"trim({sub(sub('t', '[۔؟!।]+', ' '), S + '+', ' ')})"
 @query(f"""with tr as ({SQL_TR}), b as (select doc_id, {_PLAIN} as body from tr), m as (select doc_id, case when len({sql_tokens('body')}) > 40 then {sql_parts('', f"string_split({sql_verbs('body')}, chr(1))")} else [body] end as p from b)
  select doc_id, unnest(range(len(p)))::integer as pos, unnest(p) as part from m""")
 def verb_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.trim(F.regexp_replace(F.regexp_replace("text", "[۔؟!।]+", " "), T.WS, " "))
+    t = F.trim(T.collapse(F.regexp_replace("text", "[۔؟!।]+", " ")))
     one = articles(spark, sf_dir).select(F.col("ord").alias("doc_id"), t.alias("body"))
     return one.select("doc_id", F.posexplode(segment.split_on_verbs(F.col("body"))).alias("pos", "part"))
 
 
 @query()
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.trim(F.regexp_replace("text", T.WS, " "))
+    t = F.trim(T.collapse(F.col("text")))
     long = articles(spark, sf_dir).select(F.col("ord").alias("doc_id"), F.explode(segment.sentences(t)).alias("sentence")).where(T.token_count(F.col("sentence")) > 30)
     return long.select("doc_id", F.posexplode(segment.chunks(F.col("sentence"))).alias("pos", "chunk"))
 
@@ -502,7 +505,7 @@ def chat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select item_id, {sql_norm("text")} as prediction from benchmark""")
 def prediction_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers in many wrappings, all of which hold the item's text on one line."""
-    one = F.regexp_replace("text", T.WS, " ")
+    one = T.collapse(F.col("text"))
     shape = F.col("item_id") % 4
     raw = F.when(shape == 0, F.concat(F.lit("<think>a\nb</think>\n"), one)).when(shape == 1, F.to_json(F.struct(one.alias("answer")))).when(shape == 2, F.concat(F.lit("Corrected sentence: "), one)).otherwise(F.concat(F.lit("```\n\""), one, F.lit("\"\n```")))
     return table(spark, sf_dir, "benchmark").select("item_id", T.prediction(raw).alias("prediction"))

@@ -1,8 +1,15 @@
 """Steps whose work once grew too fast or was done more than once."""
 
+import random
 from collections import Counter
+from functools import reduce
 
+from pyspark.sql import functions as F
+
+from corpuslake.functions import lexicon as L
 from corpuslake.functions import metrics as M
+from corpuslake.functions import text as T
+from corpuslake.operators.validate import occurs
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +53,44 @@ def test_ter_matches_words_once_a_shift(monkeypatch):
     assert M.ter_edits("a b c q", "a b c d e") == (2, 5) and not calls
     for x, y in ((a, "h g f e"), ("", "a"), ("a b a b", "b a b a b"), ("q", "q")):
         assert M._distance(x.split(), y.split()) == real(x.split(), y.split())[0]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def operators_run(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fusions_in_two_passes_equal_one_for_each_ending(spark):
+    rng = random.Random(3)
+    parts = [*L.FUSION_ENDINGS * 2, *set("".join(L.FUSION_ENDINGS)), " ", "۔", "x"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 20))) for _ in range(3000)] + ["کی" * k + "ا" for k in range(6)] + ["کیا" * k + "x" for k in range(6)] + ["کیا" * k + "ب" for k in range(6)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = reduce(lambda t, e: F.regexp_replace(t, f"({e})({T.BLOCK})", "$1 $2"), L.FUSION_ENDINGS, F.col("t"))
+    assert df.where(whole != T.split_fusions(F.col("t"))).isEmpty() and plan_of(df.select(T.split_fusions(F.col("t")).alias("x"))).count("regexp_replace") == 2
+
+
+def test_text_steps_equal_plain_regular_expressions(spark):
+    rng = random.Random(4)
+    parts = ["http://a.b/c", "https:", "www.", "a@b.c", "@x", "b@c@d.e", "<b>", "<", "&amp;", "&", "12", "۱۲", "x1", "۔۔", "؟؟؟", "!!", "!", "---", "--", "ا", "پاک", "é", "😀", *T.SPACES, "nan"]
+    df = spark.createDataFrame([("".join(rng.choices(parts, k=rng.randint(0, 14))),) for _ in range(3000)] + [(None,), ("\nNaN ",), ("nanİ",)], "t string")
+    t, ws = F.col("t"), r"(?U)[\s\x1c-\x1f]"
+    no = r"(?U)[^\s\x1c-\x1f]+"
+    noise = [(r"(?U)https?://" + no[4:], ""), (r"(?U)www\." + no[4:], ""), (no + "@" + no[4:] + r"\." + no[4:], ""), ("<[^>]+>", ""), ("&[a-zA-Z]+;", ""), (r"(?U)\b\d+\b", ""), ("۔{2,}", "۔"), ("؟{2,}", "؟"), ("!{2,}", "!"), ("-{3,}", " "), (ws + "+", " ")]
+    bare = F.regexp_replace(t, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    same = [
+        (T.remove_noise(t), F.trim(reduce(lambda x, p: F.regexp_replace(x, *p), noise, t))), (T.strip(t), bare), (T.collapse(t), F.regexp_replace(t, ws + "+", " ")),
+        (T.tokens(t), F.filter(F.split(t, ws + "+"), lambda w: w != "")), (T.is_blank(t), t.isNull() | (bare == "") | (F.lower(bare) == "nan")),
+        (T.block_chars(t), F.regexp_count(t, F.lit(T.BLOCK))), (T.letters(t), F.regexp_count(t, F.lit(r"\p{L}"))), (T.ascii_letters(t), F.regexp_count(t, F.lit("[A-Za-z]"))),
+    ]
+    assert df.select(*[F.count_if(~a.eqNullSafe(b)) for a, b in same]).first() == (0,) * len(same)
+
+
+def test_repeats_are_found_without_comparing_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [(rng.choices("abcdef", k=rng.randint(1, 12)), rng.randint(1, 13)) for _ in range(1000)]
+    df = spark.createDataFrame(rows, "w array<string>, k int")
+    assert [r[0] for r in df.select(occurs(F.col("w"), F.col("k"))).collect()] == [max(Counter(w).values()) >= k for w, k in rows]
