@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuslake.functions.text import let
+
 
 def draw(salt: str, *key: Column) -> Column:
     """A number from 0 to 2**32 - 1."""
@@ -22,7 +24,7 @@ def index(salt: str, n: Column, *key: Column) -> Column:
 
 
 def pick(salt: str, items: Column, *key: Column) -> Column:
-    return F.get(items, index(salt, F.size(items), *key))
+    return let(items, lambda xs: F.get(xs, index(salt, F.size(xs), *key)))
 
 
 def sql(salt: str, key: str) -> str:

@@ -48,7 +48,7 @@ def spelling(s: Column, *key: Column) -> Column:
     words = F.filter(tokens(s), lambda w: w.rlike(confusable))
     chosen = pick("spelling_word", words, *k)
     text = let(chosen, lambda w: F.when(w.isNotNull(), change(w)))
-    return F.when(text.isNotNull(), _result(text, "spelling_error"))
+    return let(text, lambda t: F.when(t.isNotNull(), _result(t, "spelling_error")))
 
 
 def postposition(s: Column, *key: Column) -> Column:
@@ -82,8 +82,8 @@ def insertion(s: Column, *key: Column) -> Column:
     word = pick("insertion_word", F.array(*map(F.lit, L.INSERTED)), *k)
 
     def of(w: Column) -> Column:
-        i = (draw("insertion_place", *k) % (F.size(w) + 1)).cast("int")
-        return _result(F.array_join(F.concat(F.slice(w, F.lit(1), i), F.array(word), F.slice(w, i + 1, F.size(w) + 1)), " "), "word_insertion")
+        place = (draw("insertion_place", *k) % (F.size(w) + 1)).cast("int")
+        return let(place, lambda i: _result(F.array_join(F.concat(F.slice(w, F.lit(1), i), F.array(word), F.slice(w, i + 1, F.size(w) + 1)), " "), "word_insertion"))
 
     return let(tokens(s), of)
 
@@ -103,11 +103,15 @@ FUNCTIONS = {"spelling": spelling, "postposition": postposition, "gender": gende
 
 def choice(s: Column, *key: Column) -> Column:
     """Which corruption a sentence gets, by the shares of the table."""
-    u, out, total = uniform("choice", *(key or (s,))), None, 0.0
-    for name, share in L.CORRUPTION_SHARES[:-1]:
-        total += share
-        out = F.when(u < round(total, 9), name) if out is None else out.when(u < round(total, 9), name)
-    return out.otherwise(L.CORRUPTION_SHARES[-1][0])
+
+    def of(u: Column) -> Column:
+        out, total = None, 0.0
+        for name, share in L.CORRUPTION_SHARES[:-1]:
+            total += share
+            out = F.when(u < round(total, 9), name) if out is None else out.when(u < round(total, 9), name)
+        return out.otherwise(L.CORRUPTION_SHARES[-1][0])
+
+    return let(uniform("choice", *(key or (s,))), of)
 
 
 def corrupt(s: Column, *key: Column) -> Column:
@@ -120,6 +124,12 @@ def corrupt(s: Column, *key: Column) -> Column:
     return let(choice(s, *key), of)
 
 
+def made_once(df: DataFrame, x: Column, *keep: str) -> DataFrame:
+    """The columns `keep` and the fields of x, where x isn't null. Above an outer explode conditions on x read what has been
+    made; the optimizer would write them out below, where each makes x once more."""
+    return df.select(*keep, F.explode_outer(F.array(x)).alias("x")).where("x IS NOT NULL").select(*keep, "x.*")
+
+
 def rule_pairs(df: DataFrame, column: str = "sentence", variations: int = 1) -> DataFrame:
     """incorrect_sentence, correct_sentence and error_type of each sentence and variation that gives an acceptable pair."""
     base = df.select(F.col(column).alias("correct_sentence"))
@@ -127,11 +137,11 @@ def rule_pairs(df: DataFrame, column: str = "sentence", variations: int = 1) ->
         return base.select(F.lit("").alias("incorrect_sentence"), "correct_sentence", F.lit("").alias("error_type")).limit(0)
     s = F.col("correct_sentence")
     if variations == 1:
-        made = base.select("correct_sentence", corrupt(s).alias("x"))
+        made = made_once(base, corrupt(s), "correct_sentence")
     else:
         each = base.withColumn("v", F.explode(F.sequence(F.lit(1), F.lit(variations))))
-        made = each.select("correct_sentence", corrupt(s, F.col("v"), s).alias("x"))
-    return accepted_pairs(made.where("x IS NOT NULL").select("x.incorrect_sentence", "correct_sentence", "x.error_type"))
+        made = made_once(each, corrupt(s, F.col("v"), s), "correct_sentence")
+    return accepted_pairs(made.select("incorrect_sentence", "correct_sentence", "error_type"))
 
 
 def error_type_counts(pairs: DataFrame) -> DataFrame:

@@ -379,8 +379,8 @@ SQL_DELETE = f"""deletion as (select s, array_to_string(w[1:place::integer] || w
 def _corrupted(name: str, part: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = clean.clean_sentences(articles(spark, sf_dir)).select(F.col("sentence").alias("s"))
-        made = s.select("s", corrupt.FUNCTIONS[name](F.col("s")).alias("x")).where("x IS NOT NULL")
-        return made.select("s", F.col("x.incorrect_sentence").alias("bad"), F.col("x.error_type").alias("kind"))
+        made = corrupt.made_once(s, corrupt.FUNCTIONS[name](F.col("s")), "s")
+        return made.select("s", F.col("incorrect_sentence").alias("bad"), F.col("error_type").alias("kind"))
 
     run.__name__ = f"rule_{name}"
     query(f"{BASE}, {part} select s, bad, kind from {name}")(run)

@@ -4,12 +4,14 @@ import random
 from collections import Counter
 from functools import reduce
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuslake.functions import lexicon as L
 from corpuslake.functions import metrics as M
 from corpuslake.functions import text as T
 from corpuslake.operators.validate import occurs
+from corpuslake.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +96,10 @@ def test_repeats_are_found_without_comparing_all_pairs(spark):
     rows = [(rng.choices("abcdef", k=rng.randint(1, 12)), rng.randint(1, 13)) for _ in range(1000)]
     df = spark.createDataFrame(rows, "w array<string>, k int")
     assert [r[0] for r in df.select(occurs(F.col("w"), F.col("k"))).collect()] == [max(Counter(w).values()) >= k for w, k in rows]
+
+
+@pytest.mark.parametrize("name", ["rule_spelling", "rule_postposition", "rule_gender", "rule_insertion", "rule_deletion", "rule_pairs"])
+def test_a_corruption_is_made_once(spark, name):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    salt = {"rule_spelling": "spelling_word", "rule_pairs": "choice"}.get(name, f"{name[5:]}_place")
+    assert plan_of(Q.QUERIES[name](spark, SF)).count(f"md5(cast(concat_ws(:, {salt},") == 1
