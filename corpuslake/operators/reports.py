@@ -45,15 +45,23 @@ def length_stats(df: DataFrame, column: str = "word_count") -> DataFrame:
 
 
 def quality_checks(df: DataFrame) -> DataFrame:
-    """The seven checks of accepted sentences as check, passed, detail."""
-    dup = df.groupBy("sentence").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("dup"))
-    one = df.agg(
-        F.count("*").alias("n"), F.count_if(F.col("sentence").isNull()).alias("nulls"), F.count_if(block_chars(F.col("sentence")) < 5).alias("few"),
-        F.avg("word_count").alias("mean"), F.max("word_count").alias("longest"), F.count_if(F.col("sentence").rlike("[طظغ]{3,}")).alias("moji"),
-        F.count_distinct("category").alias("cats"),
-    ).join(F.broadcast(dup))
-    ok = lambda name, cond, detail: F.struct(F.lit(name).alias("check"), F.coalesce(cond, F.lit(False)).alias("passed"), F.coalesce(detail.cast("double"), F.lit(0.0)).alias("detail"))
+    """The seven checks of accepted sentences as check, passed, detail.
+
+    One pass: counts by sentence and, beside them, by category, which are few rows. All other sums are over the sentences.
+    """
     c = F.col
+    is_sentence = F.grouping("sentence") == 0
+    each = df.groupingSets([["sentence"], ["category"]], "sentence", "category").agg(
+        is_sentence.alias("by_sentence"), F.count("*").alias("c"), F.sum("word_count").alias("words"), F.count("word_count").alias("counted"), F.max("word_count").alias("longest")
+    )
+    over = lambda cond, n: F.coalesce(F.sum(F.when(c("by_sentence") & cond, n)), F.lit(0))
+    every = F.lit(True)
+    one = each.agg(
+        over(every, c("c")).alias("n"), over(c("sentence").isNull(), c("c")).alias("nulls"), over(block_chars(c("sentence")) < 5, c("c")).alias("few"), over(every, c("c") - 1).alias("dup"),
+        F.try_divide(over(every, c("words")).cast("double"), over(every, c("counted"))).alias("mean"), F.max("longest").alias("longest"), over(c("sentence").rlike("[طظغ]{3,}"), c("c")).alias("moji"),
+        F.count_if(~c("by_sentence") & c("category").isNotNull()).alias("cats"),
+    )
+    ok = lambda name, cond, detail: F.struct(F.lit(name).alias("check"), F.coalesce(cond, F.lit(False)).alias("passed"), F.coalesce(detail.cast("double"), F.lit(0.0)).alias("detail"))
     checks = F.array(
         ok("not_empty", c("n") > 0, c("n")), ok("no_nulls", c("nulls") == 0, c("nulls")), ok("in_script", c("few") == 0, c("few")), ok("no_duplicates", c("dup") == 0, c("dup")),
         ok("length_in_range", (c("mean") > 4) & (c("mean") < 31) & (c("longest") <= 30), c("longest")), ok("no_mojibake", c("moji") == 0, c("moji")), ok("several_categories", c("cats") > 1, c("cats")),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuslake.functions import lexicon as L
 from corpuslake.functions import metrics as M
 from corpuslake.functions import text as T
+from corpuslake.operators import reports
 from corpuslake.operators.validate import occurs
 from corpuslake.plans import queries as Q
 
@@ -103,3 +104,10 @@ def test_a_corruption_is_made_once(spark, name):
     spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
     salt = {"rule_spelling": "spelling_word", "rule_pairs": "choice"}.get(name, f"{name[5:]}_place")
     assert plan_of(Q.QUERIES[name](spark, SF)).count(f"md5(cast(concat_ws(:, {salt},") == 1
+
+
+def test_checks_lay_sentences_out_once(spark):
+    assert plan_of(Q.QUERIES["quality_checks"](spark, SF)).count("Generate posexplode") == 1
+    df = spark.createDataFrame([("پاکستان", 5, "a"), ("پاکستان", 7, None), (None, 2, "b"), ("ططط پ", 40, "a")], "sentence string, word_count int, category string")
+    got = {r.check: (r.passed, r.detail) for r in reports.quality_checks(df).collect()}
+    assert got == {"not_empty": (True, 4.0), "no_nulls": (False, 1.0), "in_script": (False, 1.0), "no_duplicates": (False, 1.0), "length_in_range": (False, 40.0), "no_mojibake": (False, 1.0), "several_categories": (True, 2.0)}
