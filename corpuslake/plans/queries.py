@@ -416,8 +416,11 @@ def error_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{SQL_PAIRS} select incorrect_sentence, correct_sentence, error_type, 'rules' as method from pairs union all
  select 'en:' || sentence || ' <en>', sentence, 'translation', 'translation' from good""")
 def unify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule pairs and back-translated pairs in one format; the stub translators mark what they have done."""
-    good = clean.clean_sentences(articles(spark, sf_dir))
+    """Rule pairs and back-translated pairs in one format; the stub translators mark what they have done.
+
+    Both take the sentence alone, so that they read one exchange of sentences and cleaning runs once.
+    """
+    good = clean.clean_sentences(articles(spark, sf_dir)).select("sentence")
     translated = back_translate(good, lambda: lambda texts: [f"en:{t}" for t in texts], lambda: lambda texts: [f"{t} <en>" for t in texts])
     return corrupt.unify_pairs(rules=corrupt.rule_pairs(good), translation=translated)
 

@@ -111,3 +111,7 @@ def test_checks_lay_sentences_out_once(spark):
     df = spark.createDataFrame([("پاکستان", 5, "a"), ("پاکستان", 7, None), (None, 2, "b"), ("ططط پ", 40, "a")], "sentence string, word_count int, category string")
     got = {r.check: (r.passed, r.detail) for r in reports.quality_checks(df).collect()}
     assert got == {"not_empty": (True, 4.0), "no_nulls": (False, 1.0), "in_script": (False, 1.0), "no_duplicates": (False, 1.0), "length_in_range": (False, 40.0), "no_mojibake": (False, 1.0), "several_categories": (True, 2.0)}
+
+
+def test_unified_pairs_clean_once(spark):
+    assert "ReusedExchange" in operators_run(Q.QUERIES["unify_pairs"](spark, SF))
